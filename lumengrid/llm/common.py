@@ -52,3 +52,16 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of labels up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def with_trusted(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """The frame with a column trusted: whether some label gives its doc_id quality 1."""
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    good = good.withColumn("trusted", F.lit(True))
+    if good.count() <= BROADCAST_ROWS:
+        good = F.broadcast(good)
+    return df.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumengrid.llm import bpe, media, secrets
+from lumengrid.llm import bpe, kneserney, media, rules, secrets
 from lumengrid.llm.common import documents
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op8_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, ids=False)
 
@@ -28,6 +36,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_secrets": op3_secrets,
+    "op8_kneserney": op8_kneserney,
+    "op9_rules": op9_rules,
     "op10_bpe": op10_bpe,
 }
 #: None of these can be said in SQL that stays usable on whole tables; tests/llm holds brute-force versions.
