@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumengrid.llm.common import texts
+from lumengrid.llm.common import slices, texts
 
 #: Distinct chunks a worker keeps at most, pieces in one recursive query, and DuckDB's memory.
 KEPT, AT_ONCE, MEMORY = 600_000, 50_000, "300MB"
@@ -173,18 +173,6 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def _slices(values: list[str], limit: int = 4 << 20) -> Iterator[list[str]]:
-    held, size = [], 0
-    for x in values:
-        held.append(x)
-        size += len(x)
-        if size > limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ids the array of token ids."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
@@ -194,7 +182,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True) ->
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             at, doc_ids = 0, batch.column(0)
-            for part in _slices(batch.column(1).to_pylist()):
+            for part in slices(batch.column(1).to_pylist()):
                 rows = [(n, sha(x.encode()), sha(back), x if ids else "") for x, n, back in own.code(part)]
                 columns = [doc_ids.slice(at, len(part)), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))]
                 if ids:

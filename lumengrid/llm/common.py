@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,16 @@ def with_trusted(df: DataFrame, labels: DataFrame) -> DataFrame:
     if good.count() <= BROADCAST_ROWS:
         good = F.broadcast(good)
     return df.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+
+def slices(values: list[str], limit: int = 4 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about limit characters, or one longer text."""
+    held, size = [], 0
+    for x in values:
+        held.append(x)
+        size += len(x)
+        if size > limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

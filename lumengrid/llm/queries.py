@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumengrid.llm import bpe, kneserney, media, rules, secrets
+from lumengrid.llm import bpe, kneserney, media, packing, rules, secrets
 from lumengrid.llm.common import documents
 
-BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_RANKS, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
 def op8_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -36,6 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_secrets": op3_secrets,
+    "op6_packing": op6_packing,
     "op8_kneserney": op8_kneserney,
     "op9_rules": op9_rules,
     "op10_bpe": op10_bpe,
