@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumengrid.llm import bpe, kneserney, media, packing, rules, secrets
-from lumengrid.llm.common import documents
+from lumengrid.llm import bpe, extract, kneserney, media, packing, rules, secrets
+from lumengrid.llm.common import documents, prepare
 
 BYTE_RANKS, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
@@ -17,6 +17,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.with_media(documents(spark, sf_dir)))
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_extract": op2_extract,
     "op3_secrets": op3_secrets,
     "op6_packing": op6_packing,
     "op8_kneserney": op8_kneserney,
