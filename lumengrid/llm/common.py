@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(path)
+    gc.collect()  # frees what earlier steps shuffled, once nothing refers to it
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,3 +82,10 @@ def slices(values: list[str], limit: int = 4 << 20) -> Iterator[list[str]]:
             held, size = [], 0
     if held:
         yield held
+
+
+def only(df: DataFrame, ids: DataFrame, by: str) -> DataFrame:
+    """Rows whose id is among distinct ids; those are broadcast up to BROADCAST_ROWS, else both sides are shuffled."""
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return df.join(ids, by, "left_semi")
