@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumengrid.llm import bpe, extract, kneserney, media, minhash, packing, rules, secrets
+from lumengrid.llm import bpe, extract, kneserney, media, minhash, packing, rules, secrets, suffixarray
 from lumengrid.llm.common import documents, prepare
 
 BYTE_RANKS, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op4_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.deduplicate(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_extract": op2_extract,
     "op3_secrets": op3_secrets,
+    "op4_suffixarray": op4_suffixarray,
     "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
     "op8_kneserney": op8_kneserney,
