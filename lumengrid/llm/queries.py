@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumengrid.llm import bpe, extract, kneserney, media, minhash, packing, rules, secrets, suffixarray
+from lumengrid.llm import bpe, extract, fingerprints, kneserney, media, minhash, packing, rules, secrets, suffixarray
 from lumengrid.llm.common import documents, prepare
 
 BYTE_RANKS, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.deduplicate(documents(spark, sf_dir)).drop("kept")
+
+
 def op8_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffixarray": op4_suffixarray,
     "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_kneserney": op8_kneserney,
     "op9_rules": op9_rules,
     "op10_bpe": op10_bpe,
