@@ -149,12 +149,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str, mark: str = "[REDACTED]") -> str:
-    """The text with every span (overlapping ones together) replaced by the mark."""
+    """The text with every span replaced by the mark, overlapping ones together."""
     out, at = [], 0
     for s, e, _ in all_spans(text):
-        if e <= at:
-            continue
-        if s >= at and not (out and s == at and at):
+        if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)
     return "".join(out) + text[at:]
