@@ -6,19 +6,402 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lumengrid.sources.tables import ratings
+from lumengrid import config
+from lumengrid.functions import scoring, text
+from lumengrid.operators import als, parser, steps
+from lumengrid.plans import catalog as cat
+from lumengrid.plans import discover, evaluate
+from lumengrid.sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Relations of sources/tables.py and plans/catalog.py in DuckDB's SQL.
+VIEWS = {
+    "ratings": """SELECT o_custkey AS user_id, l_partkey AS item_id, max(ceil(l_quantity / 5)) / 2.0::DOUBLE AS rating, max(epoch(o_orderdate))::BIGINT AS ts
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+    "movies": "SELECT p_partkey AS item_id, p_name || ' (' || (1970 + p_size) || ')' AS title, p_type || '|' || p_brand AS genres FROM part",
+    "links": "SELECT p_partkey AS item_id, CASE WHEN p_partkey % 97 <> 0 THEN p_partkey + 100000 END AS tmdb_id FROM part",
+    "export": "SELECT p_partkey + 100000 AS tmdb_id, p_name AS original_title, p_retailprice AS popularity, p_size % 11 = 0 AS adult, p_size % 13 = 0 AS video FROM part",
+    "genome_scores": "SELECT l_partkey AS item_id, l_suppkey AS tag_id, round(avg(l_discount) * 10, 6) + 0.0 AS relevance FROM lineitem GROUP BY 1, 2",
+    "genome_tags": "SELECT s_suppkey AS tag_id, s_name AS tag FROM supplier",
+    "vectors": "SELECT vec_id AS item_id, embedding::DOUBLE[] AS embedding FROM embeddings",
+    "factors": "SELECT vec_id + 1 AS item_id, embedding::DOUBLE[] AS factor FROM embeddings WHERE label <> 9",
+    "stats": """SELECT item_id, count(rating) AS rating_count, avg(rating) AS rating_mean,
+        (50 * (SELECT avg(rating) FROM ratings) + count(rating) * avg(rating)) / (50 + count(rating)) AS bayes_score FROM ratings GROUP BY 1""",
+    "top_tags": """SELECT item_id, list(tag ORDER BY relevance DESC, tag DESC) AS keywords FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, tag_id) AS k FROM genome_scores WHERE relevance >= 0.5
+        ) JOIN genome_tags USING (tag_id) WHERE k <= 15 GROUP BY 1""",
+    "catalog": """SELECT item_id, regexp_replace(title, '\\s*\\(\\d{4}\\)\\s*$', '') AS title, regexp_extract(title, '\\((\\d{4})\\)\\s*$', 1)::INT AS release_year,
+        string_split(genres, '|') AS genres, CASE WHEN item_id % 5 <> 0 THEN round(item_id % 100 / 10.0::DOUBLE, 1) END AS vote_average,
+        rating_count, rating_mean, bayes_score, embedding, factor
+        FROM movies JOIN vectors USING (item_id) LEFT JOIN factors USING (item_id) LEFT JOIN stats USING (item_id)""",
+    "split": """SELECT * EXCLUDE (k, n), k > n - least(ceil(n * 0.2::DOUBLE)::BIGINT, n - 1) AS is_test FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM ratings)""",
+    "train": "SELECT * FROM split WHERE NOT is_test AND item_id IN (SELECT item_id FROM catalog)",
+    "test": "SELECT * FROM split WHERE is_test AND item_id IN (SELECT item_id FROM catalog)",
+    "cohort": """SELECT user_id FROM (SELECT user_id FROM train INTERSECT SELECT user_id FROM test WHERE rating >= 4.0) ORDER BY 1 LIMIT 5000""",
+}
+_NEEDS = {
+    "stats": ["ratings"], "top_tags": ["genome_scores", "genome_tags"], "catalog": ["movies", "vectors", "factors", "stats"], "split": ["ratings"],
+    "train": ["split", "catalog"], "test": ["split", "catalog"], "cohort": ["train", "test"],
+}
 
-def bayes_top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ratings(spark, sf_dir)
-    stats = r.groupBy("item_id").agg(F.count("rating").alias("n"), F.avg("rating").alias("mean"))
-    total = r.agg(F.avg("rating").alias("m"))
-    score = F.round((F.lit(50.0) * F.col("m") + F.col("n") * F.col("mean")) / (F.lit(50.0) + F.col("n")), 6)
-    return stats.crossJoin(F.broadcast(total)).select("item_id", F.col("n").alias("rating_count"), score.alias("bayes_score")).orderBy(F.desc("bayes_score"), "item_id").limit(20)
 
+def _with(sql: str, *views: str) -> str:
+    order: list[str] = []
 
-QUERIES["bayes_top_items"] = bayes_top_items
+    def add(name: str) -> None:
+        for x in _NEEDS.get(name, []):
+            add(x)
+        if name not in order:
+            order.append(name)
+
+    for v in views:
+        add(v)
+    return "WITH " + ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in order) + "\n" + sql
+
+
+def register(name: str, sql: str | None = None, *views: str) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = _with(sql, *views) if views else sql
+        return query
+
+    return add
+
+
+@register("bayes_top_items", "SELECT item_id, rating_count, round(bayes_score, 6) AS bayes_score FROM stats ORDER BY 3 DESC, 1 LIMIT 20", "stats")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = cat.bayes_stats(tables.ratings(spark, d)).select("item_id", "rating_count", F.round("bayes_score", 6).alias("bayes_score"))
+    return out.orderBy(F.desc("bayes_score"), "item_id").limit(20)
+
+
+@register("rating_stats", "SELECT item_id, rating_count, round(rating_mean, 6) AS rating_mean FROM stats", "stats")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return cat.rating_stats(tables.ratings(spark, d)).select("item_id", "rating_count", F.round("rating_mean", 6).alias("rating_mean"))
+
+
+@register("rating_year_buckets", "SELECT year(to_timestamp(ts) AT TIME ZONE 'UTC') AS rating_year, item_id % 16 AS bucket, count(*) AS n FROM ratings GROUP BY 1, 2", "ratings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = tables.ratings(spark, d)
+    return r.groupBy(F.year(F.from_unixtime("ts")).cast("long").alias("rating_year"), F.pmod("item_id", F.lit(config.BUCKETS)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@register("hash_sample", "SELECT count(*) AS n, sum(user_id)::BIGINT AS users FROM ratings WHERE (user_id * 31 + item_id * 17) % 100 < 1", "ratings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The sampling operator in a form that doesn't depend on file layout: a share of key residues."""
+    kept = tables.ratings(spark, d).where((F.col("user_id") * 31 + F.col("item_id") * 17) % 100 < config.SAMPLE_FRACTION * 100)
+    return kept.agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
+@register("temporal_split_counts", "SELECT user_id, count(*) FILTER (NOT is_test) AS train, count(*) FILTER (is_test) AS test, coalesce(sum(item_id) FILTER (is_test), 0)::BIGINT AS test_items FROM split GROUP BY 1", "split")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = evaluate.temporal_split(tables.ratings(spark, d))
+    return s.groupBy("user_id").agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test"), F.coalesce(F.sum(F.when(F.col("is_test"), F.col("item_id"))), F.lit(0)).alias("test_items"))
+
+
+@register("split_leakage_check", "SELECT count(*) AS users, count(*) FILTER (t < r) AS leaks FROM (SELECT user_id, min(ts) FILTER (is_test) AS t, max(ts) FILTER (NOT is_test) AS r FROM split GROUP BY 1)", "split")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = evaluate.temporal_split(tables.ratings(spark, d))
+    u = s.groupBy("user_id").agg(F.min(F.when(F.col("is_test"), F.col("ts"))).alias("t"), F.max(F.when(~F.col("is_test"), F.col("ts"))).alias("r"))
+    return u.agg(F.count("*").alias("users"), F.count_if(F.col("t") < F.col("r")).alias("leaks"))
+
+
+@register("linked_targets", "SELECT item_id, tmdb_id, title FROM links JOIN movies USING (item_id) WHERE tmdb_id IS NOT NULL", "links", "movies")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return cat.linked_targets(tables.links(spark, d), tables.movies(spark, d))
+
+
+_POPULAR = "SELECT tmdb_id, original_title, popularity FROM export WHERE NOT adult AND NOT video AND tmdb_id NOT IN (SELECT tmdb_id FROM links WHERE tmdb_id IS NOT NULL) ORDER BY popularity DESC, tmdb_id LIMIT 1000"
+
+
+@register("popular_unlinked", _POPULAR, "export", "links")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return cat.popular_unlinked(tables.export(spark, d), tables.links(spark, d))
+
+
+@register("target_union", f"SELECT tmdb_id, item_id FROM links WHERE tmdb_id IS NOT NULL UNION ALL SELECT tmdb_id, NULL FROM ({_POPULAR})", "export", "links")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    linked = cat.linked_targets(tables.links(spark, d), tables.movies(spark, d)).select("tmdb_id", "item_id")
+    popular = cat.popular_unlinked(tables.export(spark, d), tables.links(spark, d)).select("tmdb_id", F.lit(None).cast("long").alias("item_id"))
+    return linked.unionByName(popular)
+
+
+@register("pending_targets", "SELECT item_id, tmdb_id FROM links WHERE tmdb_id IS NOT NULL AND tmdb_id NOT IN (SELECT tmdb_id FROM export WHERE adult OR video)", "links", "export")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    done = tables.export(spark, d).where("adult or video").select("tmdb_id")
+    return steps.pending(tables.links(spark, d).where("tmdb_id is not null"), done, "tmdb_id").select("item_id", "tmdb_id")
+
+
+@register("top_tags_per_item", "SELECT item_id, array_to_string(keywords, ',') AS keywords, len(keywords) AS n FROM top_tags", "top_tags")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = cat.top_tags(tables.genome_scores(spark, d), tables.genome_tags(spark, d))
+    return t.select("item_id", F.array_join("keywords", ",").alias("keywords"), F.size("keywords").cast("long").alias("n"))
+
+
+_FALLBACK = """SELECT item_id, tmdb_id, regexp_replace(title, '\\s*\\(\\d{4}\\)\\s*$', '') AS title, regexp_extract(title, '\\((\\d{4})\\)\\s*$', 1)::INT AS release_year, NULL::VARCHAR AS overview,
+    string_split(genres, '|') AS genres, coalesce(keywords, []::VARCHAR[]) AS keywords, 'fallback' AS source FROM links JOIN movies USING (item_id) LEFT JOIN top_tags USING (item_id) WHERE tmdb_id IS NOT NULL"""
+
+
+@register("fallback_metadata", f"SELECT * EXCLUDE (genres, keywords), array_to_string(genres, ',') AS genres, len(keywords) AS n_keywords FROM ({_FALLBACK})", "links", "movies", "top_tags")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return cat.fallback_metadata(spark, d).withColumn("n_keywords", F.size("keywords").cast("long")).withColumn("genres", F.array_join("genres", ",")).drop("keywords")
+
+
+@register("embedding_text", f"""SELECT item_id, title || ' (' || release_year || '). Genres: ' || array_to_string(genres, ', ') || '.'
+    || CASE WHEN len(keywords) > 0 THEN ' Keywords: ' || array_to_string(keywords, ', ') || '.' ELSE '' END AS text FROM ({_FALLBACK})""", "links", "movies", "top_tags")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = cat.fallback_metadata(spark, d)
+    return m.select("item_id", text.described(F.col("title"), F.col("release_year"), F.col("overview"), F.col("genres"), F.col("keywords")).alias("text"))
+
+
+@register("query_text", """SELECT label AS query_id, CASE WHEN label = 0 THEN 'a movie.' ELSE 'query ' || label || '.' END
+    || CASE WHEN label % 2 = 1 THEN ' Genres: Drama, War.' ELSE '' END AS text FROM (SELECT DISTINCT label FROM embeddings)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    q = tables.table(spark, d, "embeddings").select("label").distinct()
+    head = F.when(F.col("label") == 0, "a movie").otherwise(F.concat(F.lit("query "), F.col("label").cast("string")))
+    genres = F.when(F.col("label") % 2 == 1, text.cleaned(F.array(F.lit(" Drama"), F.lit("War "), F.lit("drama"), F.lit("")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return q.select(F.col("label").alias("query_id"), text.described(head, F.lit(0), F.lit(None).cast("string"), genres, none).alias("text"))
+
+
+@register("poster_url", "SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 <> 0 THEN 'https://img.example.org/w342' || '/' || p_brand || '.jpg' END AS poster_url FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("/"), F.col("p_brand"), F.lit(".jpg")))
+    return tables.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), text.poster_url(path, "https://img.example.org/w342").alias("poster_url"))
+
+
+@register("payload_normalize", """SELECT event_id, k, CASE WHEN k % 2 = 0 THEN k END AS runtime, event_type AS name FROM (SELECT event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = F.from_json("props", "k INT").getField("k")
+    return tables.table(spark, d, "events").select("event_id", p.alias("k"), F.nullif(F.when(p % 2 == 0, p).otherwise(-1), F.lit(-1)).alias("runtime"), F.col("event_type").alias("name"))
+
+
+@register("checksum_parse", "SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS digest FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    digest, k = F.md5(F.col("o_orderkey").cast("string").cast("binary")), F.col("o_orderkey") % 3
+    line = F.when(k == 0, digest).when(k == 1, F.concat(F.upper(digest), F.lit("  file.zip"))).otherwise(F.concat(F.lit("MD5 (file.zip) = "), digest))
+    return tables.table(spark, d, "orders").select("o_orderkey", text.checksum(line).alias("digest"))
+
+
+@register("catalog_join", "SELECT item_id, title, release_year, rating_count, round(bayes_score, 6) AS bayes_score, factor IS NOT NULL AS has_factor, len(embedding) AS dims FROM catalog", "catalog")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return cat.catalog(spark, d).select("item_id", "title", "release_year", "rating_count", F.round("bayes_score", 6).alias("bayes_score"), F.col("factor").isNotNull().alias("has_factor"), F.size("embedding").cast("long").alias("dims"))
+
+
+@register("source_counts", "SELECT CASE WHEN tmdb_id IS NULL THEN 'none' ELSE 'linked' END AS source, count(*) AS n, count(tmdb_id) AS with_id FROM links GROUP BY 1", "links")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return tables.links(spark, d).groupBy(F.when(F.col("tmdb_id").isNull(), "none").otherwise("linked").alias("source")).agg(F.count("*").alias("n"), F.count("tmdb_id").alias("with_id"))
+
+
+@register("shard_plan", "SELECT (item_id // 512)::BIGINT AS shard, count(*) AS n, min(item_id) AS low, max(item_id) AS high FROM vectors GROUP BY 1", "vectors")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Shards by id; ids without gaps make shards of equal size."""
+    v = tables.embeddings(spark, d)
+    return v.groupBy(F.floor(F.col("item_id") / config.SHARD_ROWS).cast("long").alias("shard")).agg(F.count("*").alias("n"), F.min("item_id").alias("low"), F.max("item_id").alias("high"))
+
+
+@register("cosine_cases", """SELECT item_id, round(list_cosine_similarity(embedding, factor), 6) AS cosine, round(list_dot_product(embedding, factor), 6) AS dot, round(sqrt(list_dot_product(embedding, embedding)), 6) AS norm
+    FROM vectors JOIN factors USING (item_id)""", "vectors", "factors")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = tables.embeddings(spark, d).join(tables.factors(spark, d), "item_id")
+    e, f = F.col("embedding"), F.col("factor")
+    return v.select("item_id", F.round(scoring.cosine(e, f), 6).alias("cosine"), F.round(scoring.dot(e, f), 6).alias("dot"), F.round(scoring.norm(e), 6).alias("norm"))
+
+
+def _neighbours_sql(vector: str, anchor: int) -> str:
+    return f"""SELECT c.item_id, c.title, round(list_cosine_similarity(c.{vector}, a.v), 6) AS similarity FROM (SELECT * FROM catalog WHERE {vector} IS NOT NULL) c,
+    (SELECT {vector} AS v FROM catalog WHERE item_id = {anchor} AND {vector} IS NOT NULL) a WHERE c.item_id <> {anchor} ORDER BY 3 DESC, 1 LIMIT 10"""
+
+
+for _vector in ("embedding", "factor"):
+    register(f"neighbours_{_vector}", _neighbours_sql(_vector, 7), "catalog")(lambda spark, d, v=_vector: discover.neighbours(cat.catalog(spark, d), 7, v))
+
+
+@register("smoke_neighbours", """SELECT item_id, round(list_cosine_similarity(embedding, (SELECT embedding FROM catalog ORDER BY rating_count DESC NULLS LAST, item_id LIMIT 1)), 4) AS similarity
+    FROM catalog WHERE item_id <> (SELECT item_id FROM catalog ORDER BY rating_count DESC NULLS LAST, item_id LIMIT 1) ORDER BY 2 DESC, 1 LIMIT 5""", "catalog")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = cat.catalog(spark, d)
+    anchor = c.orderBy(F.desc_nulls_last("rating_count"), "item_id").limit(1).select(F.col("item_id").alias("anchor"), F.col("embedding").alias("v"))
+    near = c.crossJoin(F.broadcast(anchor)).where("item_id <> anchor").select("item_id", F.round(scoring.cosine(F.col("embedding"), F.col("v")), 4).alias("similarity"))
+    return near.orderBy(F.desc("similarity"), "item_id").limit(5)
+
+
+@register("point_lookup", "SELECT item_id, title, release_year, array_to_string(genres, ',') AS genres FROM catalog WHERE item_id = 42", "catalog")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return cat.catalog(spark, d).where("item_id = 42").select("item_id", "title", "release_year", F.array_join("genres", ",").alias("genres"))
+
+
+SPEC = parser.Spec(references=["red widget", "small ring", "no such title"], include=["economy"], exclude=["Brand#2"], start=1975, end=2015, min_rating=3.0, text="red widget")
+_FILTER = """list_contains(list_transform(genres, lambda g: lower(g)), 'economy') AND NOT list_contains(list_transform(genres, lambda g: lower(g)), 'brand#2')
+    AND release_year >= 1975 AND release_year <= 2015 AND coalesce(vote_average, rating_mean * 2) >= 3.0"""
+_REFS = """refs AS (SELECT asked, item_id, title, factor FROM (SELECT t.asked, c.*, row_number() OVER (PARTITION BY t.asked ORDER BY (lower(c.title) = t.title) DESC, rating_count DESC NULLS LAST, item_id) AS k
+    FROM (VALUES (0, 'red widget'), (1, 'small ring'), (2, 'no such title')) t(asked, title) JOIN catalog c ON contains(lower(c.title), t.title)) WHERE k = 1)"""
+_POOL = f"""pool AS (SELECT *, round(list_cosine_similarity(embedding, (SELECT embedding FROM catalog WHERE item_id = 3)), 9) AS semantic FROM catalog
+    WHERE {_FILTER} ORDER BY semantic DESC, item_id LIMIT 200)"""
+_BEHAVIORAL = """signals AS (SELECT pool.*, b.behavioral FROM pool LEFT JOIN (SELECT p.item_id, avg(list_cosine_similarity(p.factor, r.factor)) AS behavioral
+    FROM (SELECT item_id, factor FROM pool WHERE factor IS NOT NULL) p, (SELECT factor FROM refs WHERE factor IS NOT NULL) r GROUP BY 1) b USING (item_id))"""
+
+
+def _scaled(x: str, over: str = "()") -> str:
+    return f"""CASE WHEN min({x}) OVER {over} IS NULL THEN 0.0 WHEN max({x}) OVER {over} - min({x}) OVER {over} < 1e-12 THEN CASE WHEN {x} IS NULL THEN 0.0 ELSE 0.5 END
+    WHEN {x} IS NULL THEN 0.0 ELSE ({x} - min({x}) OVER {over}) / (max({x}) OVER {over} - min({x}) OVER {over}) END"""
+
+
+def _page(parts: dict[str, float], limit: int) -> str:
+    score = " + ".join(f"{w}::DOUBLE * ({_scaled(x)})" for x, w in parts.items())
+    return f"""SELECT row_number() OVER (ORDER BY score DESC, semantic DESC, item_id) AS rank, item_id, title, score, round(semantic, 4) AS semantic, round(behavioral, 4) AS behavioral,
+    round(bayes_score, 4) AS bayes_score FROM (SELECT *, round({score}, 6) AS score FROM signals) ORDER BY 1 LIMIT {limit}"""
+
+
+def _query_vector(c: DataFrame) -> DataFrame:
+    return c.where("item_id = 3").select(F.col("embedding").alias("query"))
+
+
+def _pooled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = cat.catalog(spark, d)
+    with_query = c.crossJoin(F.broadcast(_query_vector(c)))
+    return discover.pool(with_query, F.col("query"), SPEC), c
+
+
+@register("candidate_pool", _with(f", {_POOL} SELECT item_id, title, round(semantic, 6) AS semantic FROM pool", "catalog").replace("\n, pool", ", pool"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _pooled(spark, d)[0].select("item_id", "title", F.round("semantic", 6).alias("semantic"))
+
+
+@register("resolve_reference", _with(f", {_REFS} SELECT asked, item_id, title, factor IS NOT NULL AS has_factor FROM refs", "catalog").replace("\n, refs", ", refs"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return discover.references(cat.catalog(spark, d), SPEC.references).select("asked", "item_id", "title", F.col("factor").isNotNull().alias("has_factor"))
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    p, c = _pooled(spark, d)
+    return discover.behavioral(p, discover.references(c, SPEC.references))
+
+
+_ALL = _with(f", {_REFS}, {_POOL}, {_BEHAVIORAL} ", "catalog").replace("\n, refs", ", refs")
+
+
+@register("behavioral_mean_cosine", _ALL + "SELECT item_id, round(behavioral, 6) AS behavioral FROM signals")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _signals(spark, d).select("item_id", F.round("behavioral", 6).alias("behavioral"))
+
+
+@register("minmax_cases", f"""SELECT p_partkey, round({_scaled('CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END', '(PARTITION BY p_brand)')}, 6) AS scaled, round({_scaled('CASE WHEN p_size >= 0 THEN 7.0 END', '(PARTITION BY p_brand)')}, 6) AS flat FROM part""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("p_brand")
+    x = F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).otherwise(float("nan"))
+    return tables.table(spark, d, "part").select("p_partkey", F.round(scoring.minmax(x, w), 6).alias("scaled"), F.round(scoring.minmax(F.when(F.col("p_size") >= 0, 7.0), w), 6).alias("flat"))
+
+
+@register("hybrid_rank", _ALL + _page({"semantic": 0.45, "behavioral": 0.4, "bayes_score": 0.15}, 200))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return discover.hybrid(_signals(spark, d), True, config.POOL)
+
+
+@register("hybrid_rank_no_behavioral", _ALL.replace("b.behavioral FROM", "NULL::DOUBLE AS behavioral FROM") + _page({"semantic": 0.45 / 0.6, "bayes_score": 0.15 / 0.6}, 200))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return discover.hybrid(_pooled(spark, d)[0].withColumn("behavioral", F.lit(None).cast("double")), False, config.POOL)
+
+
+@register("discover_page", f"SELECT *, 'genre: economy; not genre: Brand#2; year: 1975-2015; rating: >= 3/10' AS filters FROM ({_ALL}{_page({'semantic': 0.45, 'behavioral': 0.4, 'bayes_score': 0.15}, 20)})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    spec, limit = parser.resolve(None, SPEC)
+    return discover.hybrid(_signals(spark, d), True, limit).withColumn("filters", F.lit("; ".join(parser.described(spec))))
+
+
+@register("user_profile_mean", """SELECT user_id, round(avg(v), 6) AS first_value, count(*) AS items FROM (
+    SELECT t.user_id, c.embedding[1] AS v FROM (SELECT *, max((rating >= 4)::INT) OVER (PARTITION BY user_id) AS liked FROM train) t JOIN catalog c USING (item_id) WHERE rating >= 4 OR liked = 0) GROUP BY 1""", "train", "catalog")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = cat.catalog(spark, d)
+    train = evaluate.temporal_split(tables.ratings(spark, d)).where("not is_test").join(c.select("item_id"), "item_id", "left_semi")
+    liked = F.max((F.col("rating") >= config.LIKED).cast("int")).over(Window.partitionBy("user_id"))
+    n = train.withColumn("liked", liked).where((F.col("rating") >= config.LIKED) | (F.col("liked") == 0)).groupBy("user_id").agg(F.count("*").alias("items"))
+    return evaluate.profiles(train, c).join(n, "user_id").select("user_id", F.round(F.element_at("profile", 1), 6).alias("first_value"), "items")
+
+
+def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = cat.catalog(spark, d)
+    s = evaluate.temporal_split(tables.ratings(spark, d)).join(c.select("item_id"), "item_id", "left_semi")
+    return c, s.where("not is_test"), s.where("is_test")
+
+
+@register("cohort", "SELECT user_id FROM cohort", "cohort")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c, train, test = _split(spark, d)
+    return evaluate.cohort(train, test, c)
+
+
+@register("user_item_dot", """SELECT t.user_id, t.item_id, round(list_dot_product(t.embedding, f.factor), 6) AS score FROM (SELECT user_id, train.item_id, embedding FROM train JOIN catalog USING (item_id)) t JOIN factors f ON f.item_id = t.item_id""", "train", "factors")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c, train, _ = _split(spark, d)
+    return train.join(c.select("item_id", "embedding", "factor").where("factor is not null"), "item_id").select("user_id", "item_id", F.round(scoring.dot(F.col("embedding"), F.col("factor")), 6).alias("score"))
+
+
+_EVALUATE = f"""profiles AS MATERIALIZED (SELECT user_id, list(x ORDER BY k) AS profile FROM (SELECT user_id, k, avg(x) AS x FROM (
+    SELECT t.user_id, unnest(c.embedding) AS x, generate_subscripts(c.embedding, 1) AS k FROM (SELECT *, max((rating >= 4)::INT) OVER (PARTITION BY user_id) AS liked FROM train) t
+    JOIN catalog c USING (item_id) WHERE rating >= 4 OR liked = 0) GROUP BY 1, 2) GROUP BY 1),
+user_factors AS MATERIALIZED (SELECT user_id, list(x ORDER BY k) AS user_factor FROM (SELECT user_id, k, avg(x) AS x FROM (
+    SELECT t.user_id, unnest(f.factor) AS x, generate_subscripts(f.factor, 1) AS k FROM train t JOIN factors f USING (item_id)) GROUP BY 1, 2) GROUP BY 1),
+dots AS MATERIALIZED (SELECT u.user_id, f.item_id, list_dot_product(u.user_factor, f.factor) AS behavioral FROM (SELECT * FROM user_factors WHERE user_id IN (SELECT user_id FROM cohort)) u, factors f),
+scores AS MATERIALIZED (SELECT p.user_id, c.item_id, c.bayes_score, list_cosine_similarity(p.profile, c.embedding) AS semantic, d.behavioral
+    FROM (SELECT * FROM profiles WHERE user_id IN (SELECT user_id FROM cohort)) p CROSS JOIN catalog c LEFT JOIN dots d ON d.user_id = p.user_id AND d.item_id = c.item_id),
+wide AS MATERIALIZED (SELECT user_id, item_id, semantic AS embeddings_only, behavioral AS cf_only, 0.45::DOUBLE * ({_scaled('semantic', '(PARTITION BY user_id)')}) + 0.4::DOUBLE * ({_scaled('behavioral', '(PARTITION BY user_id)')})
+    + 0.15::DOUBLE * ({_scaled('bayes_score', '(PARTITION BY user_id)')}) AS hybrid FROM scores),
+long AS (SELECT user_id, item_id, 'embeddings_only' AS ranker, embeddings_only AS score FROM wide UNION ALL SELECT user_id, item_id, 'cf_only', cf_only FROM wide UNION ALL SELECT user_id, item_id, 'hybrid', hybrid FROM wide),
+best AS MATERIALIZED (SELECT * FROM (SELECT l.ranker, l.user_id, l.item_id, row_number() OVER (PARTITION BY l.ranker, l.user_id ORDER BY round(l.score, 9) DESC NULLS LAST, l.item_id) AS rank
+    FROM long l ANTI JOIN train t ON t.user_id = l.user_id AND t.item_id = l.item_id) WHERE rank <= 25),
+relevant AS (SELECT user_id, item_id FROM test WHERE rating >= 4 AND user_id IN (SELECT user_id FROM cohort)),
+wanted AS (SELECT user_id, count(*) AS wanted FROM relevant GROUP BY 1),
+each AS (SELECT r.ranker, k.k, w.user_id, w.wanted, (SELECT count(*) FROM best b JOIN relevant v ON v.user_id = b.user_id AND v.item_id = b.item_id WHERE b.user_id = w.user_id AND b.ranker = r.ranker AND b.rank <= k.k) AS got
+    FROM wanted w, (VALUES ('embeddings_only'), ('cf_only'), ('hybrid')) r(ranker), (VALUES (10), (25)) k(k))
+SELECT ranker, k, round(avg(got / k::DOUBLE), 9) AS precision, round(avg(got / wanted::DOUBLE), 9) AS recall, count(*) AS users FROM each"""
+
+
+def _evaluated(ranker: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c = cat.catalog(spark, d)
+        return evaluate.evaluate(tables.ratings(spark, d), c, c.where("factor is not null").select("item_id", "factor")).where(F.col("ranker") == ranker)
+
+    return run
+
+
+for _name, _ranker in (("eval_embeddings_only", "embeddings_only"), ("eval_cf_fixed", "cf_only"), ("eval_hybrid_fixed", "hybrid")):
+    _sql = _with(f", {_EVALUATE} WHERE ranker = '{_ranker}' GROUP BY 1, 2", "cohort", "catalog", "factors").replace("\n, profiles", ", profiles").replace("FROM train t JOIN factors f", "FROM train t JOIN (SELECT item_id, factor FROM catalog WHERE factor IS NOT NULL) f").replace(
+        "cohort)) u, factors f)", "cohort)) u, (SELECT item_id, factor FROM catalog WHERE factor IS NOT NULL) f)")
+    register(_name, _sql)(_evaluated(_ranker))
+
+
+@register("gate_compare", "SELECT new.ranker, new.value::DOUBLE AS new_value, base.value::DOUBLE AS base_value, new.value >= base.value - 1e-9 AS passed FROM (VALUES ('hybrid', 0.0348), ('cf_only', 0.013)) new(ranker, value) JOIN (VALUES ('hybrid', 0.0348), ('cf_only', 0.02)) base(ranker, value) USING (ranker)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    new = spark.createDataFrame([("hybrid", 0.0348), ("cf_only", 0.013)], "ranker string, new_value double")
+    base = spark.createDataFrame([("hybrid", 0.0348), ("cf_only", 0.02)], "ranker string, base_value double")
+    return new.join(base, "ranker").withColumn("passed", F.col("new_value") >= F.col("base_value") - config.GATE_TOLERANCE)
+
+
+@register("als_factors")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    model = als.fit(evaluate.temporal_split(tables.ratings(spark, d)).where("not is_test"))
+    return als.item_factors(model)
+
+
+@register("als_topn")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    model = als.fit(evaluate.temporal_split(tables.ratings(spark, d)).where("not is_test"))
+    return als.top_items(model, config.NEIGHBOURS)
+
+
+@register("lsh_neighbours")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return als.lsh_neighbours(tables.embeddings(spark, d), 7, config.NEIGHBOURS)
+
+
+@register("encoded_text")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = cat.fallback_metadata(spark, d)
+    return als.hashed_vectors(m.select("item_id", text.described(F.col("title"), F.col("release_year"), F.col("overview"), F.col("genres"), F.col("keywords")).alias("text")))
