@@ -50,16 +50,32 @@ class Tokens:
 
     def encode(self, many: list[str]) -> Iterator[bytes]:
         cut = [text.split(" ") for text in many]
-        new = list({x for parts in cut for x in parts} - self.kept.keys())
-        fresh = {}
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            fresh.update(zip(part, (np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        fresh = self._learn({x for parts in cut for x in parts} - self.kept.keys())
         self.kept.update(islice(fresh.items(), max(0, KEPT - len(self.kept))))
         known = ChainMap(fresh, self.kept) if len(self.kept) >= KEPT else self.kept
         for parts in cut:
             yield b"".join([known[x] for x in parts])
 
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of runs; a stop or comma behind an ASCII letter is a token of its own, and ASCII is lower-cased first."""
+        cut = {x: self._split(x) for x in runs}
+        stems = list({part for parts in cut.values() for part in parts} - self.kept.keys())
+        known: dict[str, bytes] = {}
+        for lo in range(0, len(stems), 20_000):
+            part = stems[lo : lo + 20_000]
+            known.update(zip(part, (np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return {x: b"".join([known[p] if p in known else self.kept[p] for p in parts]) for x, parts in cut.items()}
+
+    @staticmethod
+    def _split(run: str) -> tuple[str, ...]:
+        if "<|" in run:  # may hold a special token, whose case counts
+            return (run,)
+        tail = run[-1:]
+        if tail and tail in ".," and run[-2:-1].isascii() and run[-2:-1].isalpha():
+            run = run[:-1]
+            return (run.lower() if run.isascii() else run, tail)
+        return (run.lower() if run.isascii() else run,)
+
     def keys(self, ids: list[np.ndarray]) -> np.ndarray:
         """Hilbert keys of documents that have an id each at least."""
         flat = np.concatenate(ids)
