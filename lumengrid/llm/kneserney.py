@@ -6,10 +6,10 @@
    of a shard and a salt meets the shard's costs, and yields each document's partial cost. Salts split n-grams
    that nearly every document holds.
 4. A document's cost in bits for a byte, drawn towards its language's median by PRIOR bytes, is compared with a
-   threshold of the language, from quantiles of trusted texts.
+   threshold of the language, from quantiles of trusted texts that were held out of the counts.
 
 Texts begin with ORDER - 1 marks and end with one, so that a null or empty text has a cost too. Languages without
-trusted texts (and null) take the threshold of all trusted texts; with none at all everything is kept. Rows that share
+held-out texts (and null) take the threshold of all held-out texts; with none at all everything is kept. Rows that share
 a doc_id are one document, all of whose texts count. Ties at a threshold are kept.
 """
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +31,8 @@ from lumengrid.llm.common import stored, texts, with_trusted
 ORDER, UNIT, SHARDS, SALTS = 4, 1 << 16, 8, 16
 #: A language's threshold: this quantile of trusted texts, and so many times its distance from the median above it.
 HIGH, SLACK, STEP = 0.95, 4.0, 1000
+#: One in so many trusted texts is held out of the counts, for the quantiles.
+HELD = 5
 #: Bytes at the language's median that every document counts as having besides its own: short ones say little.
 PRIOR = 100
 BEGIN, END, ALPHABET = 0xFF, 0xFE, 256
@@ -136,6 +139,8 @@ def postings(docs: DataFrame) -> DataFrame:
     """Rows of a chunk and shard: the doc_ids, the distinct n-grams, how many documents hold each, which, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        pack = lambda x: squeeze.compress(x.tobytes())
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for c in tk.chunks(batch.column(1)):
@@ -146,13 +151,22 @@ def postings(docs: DataFrame) -> DataFrame:
                 key, part = np.repeat(key, many), np.full(many.sum(), 255, dtype=np.int64)
                 part[last] = count - 255 * (many - 1)
                 gram, doc = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint16)
+                # places of documents are told by their distance from the one before; far ones take entries that count nothing
+                start = np.concatenate([[True], gram[1:] != gram[:-1]])
+                step = np.diff(doc.astype(np.int64), prepend=0)
+                step[start] = doc[start]
+                more = step // 255
+                at = np.cumsum(more + 1) - 1
+                gram = np.repeat(gram, more + 1)
+                steps, counts = np.full(len(gram), 255, dtype=np.uint8), np.zeros(len(gram), dtype=np.uint8)
+                steps[at], counts[at] = step - 255 * more, part
                 shard = _shard(gram)
                 salt = int(tk.mix(np.array([len(c.data) * 1_000_003 + int(code[0])], dtype=np.uint64))[0] % np.uint64(SALTS))
                 rows = []
                 for s in range(SHARDS):
                     own = shard == s
                     distinct, lengths = np.unique(gram[own], return_counts=True)
-                    rows.append((s, salt, ids[c.lo : c.hi], distinct.tobytes(), lengths.astype(np.uint32).tobytes(), doc[own].tobytes(), part[own].astype(np.uint8).tobytes()))
+                    rows.append((s, salt, ids[c.lo : c.hi], pack(distinct), pack(lengths.astype(np.uint32)), pack(steps[own]), pack(counts[own])))
                 kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "salt", "ids", "grams", "lengths", "docs", "counts"])
 
@@ -171,15 +185,18 @@ def score(docs: DataFrame, priced: DataFrame) -> DataFrame:
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         gram, cost = right.column("gram").to_numpy(), right.column("cost").to_numpy()
+        unpack = zstandard.ZstdDecompressor().decompress
         order = np.argsort(gram)
         gram, cost = gram[order], cost[order]
         out_id, out_cost, out_n = [], [], []
         for row in range(left.num_rows):
             ids = left.column("ids")[row].values
-            read = lambda name, kind, row=row: np.frombuffer(left.column(name)[row].as_buffer(), dtype=kind)
-            own = read("grams", np.uint32)
-            price = np.repeat(cost[np.searchsorted(gram, own)], read("lengths", np.uint32)) if len(own) else np.zeros(0)
-            doc, count = read("docs", np.uint16), read("counts", np.uint8)
+            read = lambda name, kind, row=row: np.frombuffer(unpack(left.column(name)[row].as_py()), dtype=kind)
+            own, lengths = read("grams", np.uint32), read("lengths", np.uint32)
+            price = np.repeat(cost[np.searchsorted(gram, own)], lengths) if len(own) else np.zeros(0)
+            upto, count = np.cumsum(read("docs", np.uint8), dtype=np.int64), read("counts", np.uint8)
+            before = np.cumsum(lengths, dtype=np.int64) - lengths
+            doc = upto - np.repeat(np.concatenate([[0], upto])[before], lengths) if len(own) else upto
             out_id.append(ids)
             out_cost.append(np.bincount(doc, weights=price * count, minlength=len(ids)))
             out_n.append(np.bincount(doc, weights=count, minlength=len(ids)))
@@ -194,13 +211,19 @@ def score(docs: DataFrame, priced: DataFrame) -> DataFrame:
     return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(meet, schema).groupBy("doc_id").agg(F.sum("cost").alias("cost"), F.sum("symbols").alias("symbols"))
 
 
+def _held() -> Column:
+    """The share of documents that take no part in training, so that quantiles are those of unseen texts."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+
+
 def thresholds(scored: DataFrame) -> DataFrame:
     """lang (one more row for null: all languages) and the most thousandths of a bit a byte that its documents may cost.
 
     Quantiles are exact on whole thousandths; counts by thousandth are few, whatever the number of documents.
     """
-    bins = scored.where("trusted").groupBy("lang", "level").agg(F.count("*").alias("n")).where("lang is not null")
-    bins = bins.unionByName(scored.where("trusted").groupBy("level").agg(F.count("*").alias("n")).withColumn("lang", F.lit(None).cast("string")))
+    held = scored.where(F.col("trusted") & _held())
+    bins = held.groupBy("lang", "level").agg(F.count("*").alias("n")).where("lang is not null")
+    bins = bins.unionByName(held.groupBy("level").agg(F.count("*").alias("n")).withColumn("lang", F.lit(None).cast("string")))
     w = Window.partitionBy("lang")
     placed = bins.withColumn("upto", F.sum("n").over(w.orderBy("level"))).withColumn("total", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("level")))
@@ -210,7 +233,7 @@ def thresholds(scored: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, bits (a byte), perplexity (a byte), threshold (bits) and kept."""
     plain = texts(docs)
-    flagged = with_trusted(plain, labels)
+    flagged = with_trusted(plain, labels).withColumn("trusted", F.col("trusted") & ~_held())
     counted = stored(count_grams(flagged))
     priced = costs(counted)
     about = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).groupBy("doc_id").agg(F.min("lang").alias("lang"))
