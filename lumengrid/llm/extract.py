@@ -200,7 +200,7 @@ def main_text(page: str, tree: Node) -> str:
     marked = any(b.inside and not b.outside for b in found)
     none = Block("", 0, 0.0, False, False)
     kept = []
-    for before, b, behind in zip([none, *found[:-1]], found, [*found[1:], none], strict=True):
+    for before, b, behind in zip([none, *found], found, [*found[1:], none], strict=False):
         # where the page marks its article, the rest lies outside
         outside = b.outside or marked and not b.inside
         if decide(tree, (b.words, b.link_density, before.words, before.link_density, behind.words, behind.link_density, b.inside, outside)):
