@@ -72,7 +72,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             return text
         return suffixarray.cut(text.encode(), [(s["lo"], s["hi"]) for s in spans])[0].decode(errors="ignore")
 
-    return _rewritten(suffixarray.with_spans(docs, suffixarray.removed_spans(docs)), change, spans=True)
+    return _rewritten(suffixarray.with_spans(docs.select(*COLUMNS), suffixarray.removed_spans(docs)), change, spans=True)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
