@@ -5,7 +5,7 @@
    its own random order. Bands of bins are buckets. Equal sets are folded into their smallest doc_id first.
 2. In each bucket every set is paired with one centre, so that pairs grow with the rows and not with their square.
    Pairs whose sizes allow the similarity are confirmed on the full sets, and links make components.
-3. Buckets that still hold several components get another centre, which is paired with the sets outside its own
+3. Buckets that still hold several components get CENTRES other centres, each paired with the sets outside its own
    component, round after round, until a round finds no link.
 
 With 36 bands of 4 rows a pair at the least similarity shares no bucket with probability 1e-6; it is also lost
@@ -29,6 +29,8 @@ from lumengrid.llm.common import only, stored, texts
 from lumengrid.llm.graph import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 36, 4, 75
+#: Centres of a bucket that is still divided, in each further round.
+CENTRES = 8
 BINS = BANDS * ROWS
 _ORDER = np.stack([np.random.default_rng(k).permutation(BINS) for k in range(BINS)])
 
@@ -124,14 +126,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     while True:
         rows = dealt if label is None else dealt.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
         rows = rows if label is not None else rows.withColumn("c", F.col("id"))
-        rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("c").alias("c"))
-        centre = rows.groupBy("bucket").agg(F.min(rank).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        pairs = (
-            rows.join(centre.select("bucket", F.col("m.id").alias("mid"), F.col("m.n").alias("mn"), F.col("m.c").alias("mc")), "bucket")
-            .where((F.col("c") != F.col("mc")) & (100 * F.least("n", "mn") >= percent * F.greatest("n", "mn")))
-            .select(F.col("id").alias("u"), F.col("mid").alias("v"))
-            .distinct()
-        )
+        seeds = range(1) if label is None else range(CENTRES * turn, CENTRES * (turn + 1))
+        rank = lambda k: F.struct(F.xxhash64("id", F.lit(k)).alias("r"), "id", "n", "c")
+        centre = rows.groupBy("bucket").agg(F.array(*(F.min(rank(k)) for k in seeds)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        other = lambda m: (m.c != F.col("c")) & (100 * F.least(F.col("n"), m.n) >= percent * F.greatest(F.col("n"), m.n))
+        pairs = rows.join(centre.select("bucket", "m"), "bucket").select(F.col("id").alias("u"), F.explode(F.array_distinct(F.transform(F.filter("m", other), lambda m: m.id))).alias("v")).distinct()
         found = stored(confirm(pairs, bodies, percent))
         if found.isEmpty():
             break
@@ -143,4 +142,4 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         own = own.join(label, "id", "left")
         own = own.withColumn("id", F.coalesce("component", "id"))
     least = F.coalesce("id", "doc_id")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), (F.col("doc_id") == least).alias("kept"))
+    return own.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
