@@ -24,8 +24,8 @@ VIEWS = {
     "ratings": """SELECT o_custkey AS user_id, l_partkey AS item_id, max(ceil(l_quantity / 5)) / 2.0::DOUBLE AS rating, max(epoch(o_orderdate))::BIGINT AS ts
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "movies": "SELECT p_partkey AS item_id, p_name || ' (' || (1970 + p_size) || ')' AS title, p_type || '|' || p_brand AS genres FROM part",
-    "links": "SELECT p_partkey AS item_id, CASE WHEN p_partkey % 97 <> 0 THEN p_partkey + 100000 END AS tmdb_id FROM part",
-    "export": "SELECT p_partkey + 100000 AS tmdb_id, p_name AS original_title, p_retailprice AS popularity, p_size % 11 = 0 AS adult, p_size % 13 = 0 AS video FROM part",
+    "links": "SELECT p_partkey AS item_id, CASE WHEN p_partkey % 97 <> 0 THEN p_partkey + 100000 END AS external_id FROM part",
+    "export": "SELECT p_partkey + 100000 AS external_id, p_name AS original_title, p_retailprice AS popularity, p_size % 11 = 0 AS adult, p_size % 13 = 0 AS video FROM part",
     "genome_scores": "SELECT l_partkey AS item_id, l_suppkey AS tag_id, round(avg(l_discount) * 10, 6) + 0.0 AS relevance FROM lineitem GROUP BY 1, 2",
     "genome_tags": "SELECT s_suppkey AS tag_id, s_name AS tag FROM supplier",
     "vectors": "SELECT vec_id AS item_id, embedding::DOUBLE[] AS embedding FROM embeddings",
@@ -112,12 +112,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return u.agg(F.count("*").alias("users"), F.count_if(F.col("t") < F.col("r")).alias("leaks"))
 
 
-@register("linked_targets", "SELECT item_id, tmdb_id, title FROM links JOIN movies USING (item_id) WHERE tmdb_id IS NOT NULL", "links", "movies")
+@register("linked_targets", "SELECT item_id, external_id, title FROM links JOIN movies USING (item_id) WHERE external_id IS NOT NULL", "links", "movies")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return cat.linked_targets(tables.links(spark, d), tables.movies(spark, d))
 
 
-_POPULAR = "SELECT tmdb_id, original_title, popularity FROM export WHERE NOT adult AND NOT video AND tmdb_id NOT IN (SELECT tmdb_id FROM links WHERE tmdb_id IS NOT NULL) ORDER BY popularity DESC, tmdb_id LIMIT 1000"
+_POPULAR = "SELECT external_id, original_title, popularity FROM export WHERE NOT adult AND NOT video AND external_id NOT IN (SELECT external_id FROM links WHERE external_id IS NOT NULL) ORDER BY popularity DESC, external_id LIMIT 1000"
 
 
 @register("popular_unlinked", _POPULAR, "export", "links")
@@ -125,17 +125,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return cat.popular_unlinked(tables.export(spark, d), tables.links(spark, d))
 
 
-@register("target_union", f"SELECT tmdb_id, item_id FROM links WHERE tmdb_id IS NOT NULL UNION ALL SELECT tmdb_id, NULL FROM ({_POPULAR})", "export", "links")
+@register("target_union", f"SELECT external_id, item_id FROM links WHERE external_id IS NOT NULL UNION ALL SELECT external_id, NULL FROM ({_POPULAR})", "export", "links")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    linked = cat.linked_targets(tables.links(spark, d), tables.movies(spark, d)).select("tmdb_id", "item_id")
-    popular = cat.popular_unlinked(tables.export(spark, d), tables.links(spark, d)).select("tmdb_id", F.lit(None).cast("long").alias("item_id"))
+    linked = cat.linked_targets(tables.links(spark, d), tables.movies(spark, d)).select("external_id", "item_id")
+    popular = cat.popular_unlinked(tables.export(spark, d), tables.links(spark, d)).select("external_id", F.lit(None).cast("long").alias("item_id"))
     return linked.unionByName(popular)
 
 
-@register("pending_targets", "SELECT item_id, tmdb_id FROM links WHERE tmdb_id IS NOT NULL AND tmdb_id NOT IN (SELECT tmdb_id FROM export WHERE adult OR video)", "links", "export")
+@register("pending_targets", "SELECT item_id, external_id FROM links WHERE external_id IS NOT NULL AND external_id NOT IN (SELECT external_id FROM export WHERE adult OR video)", "links", "export")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    done = tables.export(spark, d).where("adult or video").select("tmdb_id")
-    return steps.pending(tables.links(spark, d).where("tmdb_id is not null"), done, "tmdb_id").select("item_id", "tmdb_id")
+    done = tables.export(spark, d).where("adult or video").select("external_id")
+    return steps.pending(tables.links(spark, d).where("external_id is not null"), done, "external_id").select("item_id", "external_id")
 
 
 @register("top_tags_per_item", "SELECT item_id, array_to_string(keywords, ',') AS keywords, len(keywords) AS n FROM top_tags", "top_tags")
@@ -144,8 +144,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return t.select("item_id", F.array_join("keywords", ",").alias("keywords"), F.size("keywords").cast("long").alias("n"))
 
 
-_FALLBACK = """SELECT item_id, tmdb_id, regexp_replace(title, '\\s*\\(\\d{4}\\)\\s*$', '') AS title, regexp_extract(title, '\\((\\d{4})\\)\\s*$', 1)::INT AS release_year, NULL::VARCHAR AS overview,
-    string_split(genres, '|') AS genres, coalesce(keywords, []::VARCHAR[]) AS keywords, 'fallback' AS source FROM links JOIN movies USING (item_id) LEFT JOIN top_tags USING (item_id) WHERE tmdb_id IS NOT NULL"""
+_FALLBACK = """SELECT item_id, external_id, regexp_replace(title, '\\s*\\(\\d{4}\\)\\s*$', '') AS title, regexp_extract(title, '\\((\\d{4})\\)\\s*$', 1)::INT AS release_year, NULL::VARCHAR AS overview,
+    string_split(genres, '|') AS genres, coalesce(keywords, []::VARCHAR[]) AS keywords, 'fallback' AS source FROM links JOIN movies USING (item_id) LEFT JOIN top_tags USING (item_id) WHERE external_id IS NOT NULL"""
 
 
 @register("fallback_metadata", f"SELECT * EXCLUDE (genres, keywords), array_to_string(genres, ',') AS genres, len(keywords) AS n_keywords FROM ({_FALLBACK})", "links", "movies", "top_tags")
@@ -194,9 +194,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return cat.catalog(spark, d).select("item_id", "title", "release_year", "rating_count", F.round("bayes_score", 6).alias("bayes_score"), F.col("factor").isNotNull().alias("has_factor"), F.size("embedding").cast("long").alias("dims"))
 
 
-@register("source_counts", "SELECT CASE WHEN tmdb_id IS NULL THEN 'none' ELSE 'linked' END AS source, count(*) AS n, count(tmdb_id) AS with_id FROM links GROUP BY 1", "links")
+@register("source_counts", "SELECT CASE WHEN external_id IS NULL THEN 'none' ELSE 'linked' END AS source, count(*) AS n, count(external_id) AS with_id FROM links GROUP BY 1", "links")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return tables.links(spark, d).groupBy(F.when(F.col("tmdb_id").isNull(), "none").otherwise("linked").alias("source")).agg(F.count("*").alias("n"), F.count("tmdb_id").alias("with_id"))
+    return tables.links(spark, d).groupBy(F.when(F.col("external_id").isNull(), "none").otherwise("linked").alias("source")).agg(F.count("*").alias("n"), F.count("external_id").alias("with_id"))
 
 
 @register("shard_plan", "SELECT (item_id // 512)::BIGINT AS shard, count(*) AS n, min(item_id) AS low, max(item_id) AS high FROM vectors GROUP BY 1", "vectors")

@@ -29,13 +29,13 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 97 != 0, F.col("p_partkey") + 100000).alias("tmdb_id"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 97 != 0, F.col("p_partkey") + 100000).alias("external_id"))
 
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select(
-        (F.col("p_partkey") + 100000).alias("tmdb_id"), F.col("p_name").alias("original_title"), F.col("p_retailprice").alias("popularity"), (size % 11 == 0).alias("adult"), (size % 13 == 0).alias("video")
+        (F.col("p_partkey") + 100000).alias("external_id"), F.col("p_name").alias("original_title"), F.col("p_retailprice").alias("popularity"), (size % 11 == 0).alias("adult"), (size % 13 == 0).alias("video")
     )
 
 
