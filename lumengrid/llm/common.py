@@ -42,7 +42,17 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     writer.parquet(path)
     gc.collect()  # frees what earlier steps shuffled, once nothing refers to it
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames; all that reads them must have been written by then."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from lumengrid.llm.common import stored, tasks
 def running(df: DataFrame, by: list, flag: str) -> DataFrame:
     """The frame and, in the order of by, how many earlier rows have the flag (hits) and how many have not (rest).
 
-    Rows are dealt by range; each task counts its own, and the tasks' sums, a row for each task, go through the driver.
+    The frame reads a stored table, which discard() deletes. Rows are dealt by range; each task counts its own, and the tasks' sums, a row for each task, go through the driver.
     """
     spark = df.sparkSession
 
@@ -41,4 +41,6 @@ def running(df: DataFrame, by: list, flag: str) -> DataFrame:
         starts.append((part, hits, rest))
         hits, rest = hits + a, rest + n - a
     offsets = spark.createDataFrame(starts, "part int, hits0 long, rest0 long")
-    return local.join(F.broadcast(offsets), "part").select(*df.columns, (F.col("hits") + F.col("hits0")).alias("hits"), (F.col("rest") + F.col("rest0")).alias("rest"))
+    out = local.join(F.broadcast(offsets), "part").select(*df.columns, (F.col("hits") + F.col("hits0")).alias("hits"), (F.col("rest") + F.col("rest0")).alias("rest"))
+    out.stored_path = local.stored_path
+    return out

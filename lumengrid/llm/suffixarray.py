@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import BROADCAST_ROWS, only, stored, tasks, texts
+from lumengrid.llm.common import BROADCAST_ROWS, discard, only, stored, tasks, texts
 from lumengrid.llm.order import running
 
 #: Bytes of a match, hashes an anchor is the least of, bytes of a hash, windows checked together, letters compared.
@@ -136,20 +136,30 @@ def suffix_order(strings: DataFrame, enough: int = LENGTH) -> DataFrame:
     named = stored(named.repartitionByRange(tasks(spark), *triple).sortWithinPartitions(*triple).select(*triple, "n", "size", (F.monotonically_increasing_id() + 1).alias("name")))
     below = F.xxhash64("s", F.col("j") % 3).bitwiseAND((1 << 62) - 1)
     sample = stored(sample.select("s", "j", *triple, below.alias("s2"), F.floor(F.col("j") / 3).alias("j2")).join(named.select(*triple, "name", "size"), triple).drop(*triple))
+    spent = [full, named, sample]
     if named.where((F.col("n") > 1) & (F.col("size") < enough)).isEmpty():
         ranked = sample.select("s", "j", F.col("name").alias("rank"))
     else:  # recurse on names
         deeper = suffix_order(sample.select(F.col("s2").alias("s"), F.col("j2").alias("j"), F.col("name").alias("x"), "size"), enough)
+        spent.append(deeper)
         ranked = sample.join(deeper.select(F.col("s").alias("s2"), F.col("j").alias("j2"), F.col("place").alias("rank")), ["s2", "j2"]).select("s", "j", "rank")
     # merge remaining suffixes: a class is counted against each other one on keys that both have
     both = full.select("s", "j", "x", "x1").join(ranked, ["s", "j"], "left")
     both = stored(both.select("*", F.coalesce(F.lead("rank", 1).over(w), end).alias("r1"), F.coalesce(F.lead("rank", 2).over(w), end).alias("r2"), (F.col("j") % 3 == 0).alias("zero")))
-    first = running(both.where("j % 3 <> 2").select("s", "j", "x", "r1", "zero"), ["x", "r1", "s", "j"], "zero").select("s", "j", F.col("hits").alias("zero1"), F.col("rest").alias("one"))
-    second = running(both.where("j % 3 <> 1").select("s", "j", "x", "x1", "r2", "zero"), ["x", "x1", "r2", "s", "j"], "zero").select("s", "j", F.col("hits").alias("zero2"), F.col("rest").alias("two"))
-    samples = running(both.where("not zero").select("s", "j", "rank", "zero"), ["rank", "s", "j"], "zero").select("s", "j", F.col("rest").alias("among"))
-    counts = both.select("s", "j", "zero").join(first, ["s", "j"], "left").join(second, ["s", "j"], "left").join(samples, ["s", "j"], "left")
+    discard(*spent)
+    first = running(both.where("j % 3 <> 2").select("s", "j", "x", "r1", "zero"), ["x", "r1", "s", "j"], "zero")
+    second = running(both.where("j % 3 <> 1").select("s", "j", "x", "x1", "r2", "zero"), ["x", "x1", "r2", "s", "j"], "zero")
+    samples = running(both.where("not zero").select("s", "j", "rank", "zero"), ["rank", "s", "j"], "zero")
+    counts = (
+        both.select("s", "j", "zero")
+        .join(first.select("s", "j", F.col("hits").alias("zero1"), F.col("rest").alias("one")), ["s", "j"], "left")
+        .join(second.select("s", "j", F.col("hits").alias("zero2"), F.col("rest").alias("two")), ["s", "j"], "left")
+        .join(samples.select("s", "j", F.col("rest").alias("among")), ["s", "j"], "left")
+    )
     place = F.when(F.col("zero"), F.col("zero1") + F.col("one") + F.col("two")).otherwise(F.col("among") + F.coalesce("zero1", "zero2"))
-    return stored(counts.select("s", "j", place.alias("place")))
+    out = stored(counts.select("s", "j", place.alias("place")))
+    discard(both, first, second, samples)
+    return out
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
@@ -161,25 +171,29 @@ def candidates(distinct: DataFrame) -> DataFrame:
     letters = letters.withColumn("run", F.col("i") - F.row_number().over(w))
     of_run = Window.partitionBy("id", "run").orderBy("i")
     size = F.col("x").bitwiseAND(127) + 1
-    ahead = F.collect_list("x").over(of_run.rowsBetween(0, AHEAD - 1))
+    # 25 bits of the hash and the length: letters that agree by chance make a candidate more, never one less
+    ahead = F.collect_list(F.col("x").bitwiseAND((1 << 32) - 1) - (1 << 31)).over(of_run.rowsBetween(0, AHEAD - 1)).cast("array<int>")
     letters = stored(letters.select("id", "i", "x", "reach", size.alias("size"), F.xxhash64("id", "run").bitwiseAND((1 << 62) - 1).alias("s"), (F.row_number().over(of_run) - 1).cast("long").alias("j"), ahead.alias("ahead")))
     order = suffix_order(letters.select("s", "j", "x", "size"))
     placed = letters.select("s", "j", "id", "i", "reach", "ahead").join(order, ["s", "j"]).select("id", "i", "reach", "ahead", "place", F.lit(True).alias("every"))
-    placed = running(placed, ["place", "id", "i"], "every").select("id", "i", "reach", "ahead", F.col("hits").alias("at"))
+    placed = running(placed, ["place", "id", "i"], "every")
+    discard(letters, order)
     # neighbours: rows are dealt in runs of places, and the rows at a run's ends belong to the next runs too
     step = 1 << 16
     own = F.floor(F.col("at") / step)
-    dealt = placed.withColumn("deal", F.explode(F.array_distinct(F.array(own, F.floor((F.col("at") - 1) / step), F.floor((F.col("at") + 1) / step)))))
+    dealt = placed.select("id", "i", "reach", "ahead", F.col("hits").alias("at")).withColumn("deal", F.explode(F.array_distinct(F.array(own, F.floor((F.col("at") - 1) / step), F.floor((F.col("at") + 1) / step)))))
     w = Window.partitionBy("deal").orderBy("at")
     agree = lambda other: F.aggregate(
-        F.zip_with("ahead", other, lambda a, b: F.when(a == b, a.bitwiseAND(127) + 1)),
+        F.zip_with("ahead", other, lambda a, b: F.when(a == b, a.bitwiseAND(127).cast("long") + 1)),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(True).alias("on")),
         lambda acc, v: F.struct((acc.n + F.when(acc.on & v.isNotNull(), v).otherwise(0)).alias("n"), (acc.k + F.when(acc.on & v.isNotNull(), 1).otherwise(0)).alias("k"), (acc.on & v.isNotNull()).alias("on")),
     )
     need = LENGTH - WINDOW - GRAM + 1 - F.col("reach")
     near = dealt.select("id", "i", "reach", "deal", "at", agree(F.lag("ahead").over(w)).alias("p"), agree(F.lead("ahead").over(w)).alias("q")).where(F.floor(F.col("at") / step) == F.col("deal"))
     enough = lambda c: F.coalesce((F.col(f"{c}.n") >= need) | (F.col(f"{c}.k") == AHEAD), F.lit(False))
-    return near.where((F.col("reach") >= 0) & (enough("p") | enough("q"))).select("id", "i")
+    out = stored(near.where((F.col("reach") >= 0) & (enough("p") | enough("q"))).select("id", "i"))
+    discard(placed)
+    return out
 
 
 def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +230,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), batch.column(0)[k].as_py()), pa.int64()), pa.array(p), pa.array(a), pa.array(b)], names=["id", "p", "a", "b"])
 
 
-def repeated(plain: DataFrame, found: DataFrame) -> DataFrame:
-    """id, lo and hi: starts of windows, among those of the found letters, that occur elsewhere too."""
+def repeated(plain: DataFrame, found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """id, lo and hi: starts of windows, among those of the found letters, that occur elsewhere too; and the stored tables it reads."""
     listed = found.groupBy("id").agg(F.array_sort(F.collect_set("i")).alias("i"))
     listed = stored(listed)
     bodies = stored(only(plain.withColumnRenamed("doc_id", "id"), listed.select("id"), "id").groupBy("id").agg(F.first("text").alias("text")))
@@ -236,21 +250,27 @@ def repeated(plain: DataFrame, found: DataFrame) -> DataFrame:
     single = stored(bodies.join(ranges, "id").select("id", "text", "ranges").mapInArrow(_windows, "id long, p long, a long, b long"))
     again = single.groupBy("a", "b").agg(F.countDistinct("id", "p").alias("n")).where("n > 1").select("a", "b")
     by_one = single.join(again, ["a", "b"]).select("id", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    return whole.unionByName(by_step).unionByName(by_one)
+    return whole.unionByName(by_step).unionByName(by_one), [listed, bodies, checks, groups, parts, single]
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id and spans: unordered byte ranges (lo, hi) to remove, for documents that have any."""
     plain = texts(docs)
-    signed = stored(strings(plain))
-    distinct = stored(signed.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("letters", "doc_id").alias("letters")))
-    found = stored(candidates(distinct))
-    ranges = repeated(plain, found).groupBy("id").agg(F.collect_set(F.struct("lo", (F.col("hi") + LENGTH).alias("hi"))).alias("spans"))
+    full = stored(strings(plain))
+    wide = stored(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("letters", "doc_id").alias("letters")))
+    signed, distinct = stored(full.drop("letters")), stored(wide.drop("letters"))
+    discard(full)
+    found = candidates(wide)
+    discard(wide)
+    ranges, spent = repeated(plain, found)
+    ranges = ranges.groupBy("id").agg(F.collect_set(F.struct("lo", (F.col("hi") + LENGTH).alias("hi"))).alias("spans"))
     alone = distinct.where("copies = 1").select("id")
     ranges = ranges.join(alone, "id").select(F.col("id").alias("doc_id"), "spans")
     copies = distinct.where(f"copies > 1 and n >= {LENGTH}").select("a", "b", "n")
     copies = signed.select("doc_id", "a", "b", "n").join(copies, ["a", "b", "n"]).select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))).alias("spans")).dropDuplicates(["doc_id"])
-    return stored(ranges.unionByName(copies))
+    out = stored(ranges.unionByName(copies))
+    discard(signed, distinct, found, *spent)
+    return out
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
