@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,38 @@ def slices(values: list[str], limit: int = 4 << 20) -> Iterator[list[str]]:
         yield held
 
 
+#: Ranges of bytes or words up to which spans are broadcast.
+BROADCAST_RANGES = 200_000
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """doc_id and spans, where ranges that touch have become one; in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for found in batch.column(1).to_pylist():
+                runs: list[dict] = []
+                for lo, hi in sorted((s["lo"], s["hi"]) for s in found):
+                    if runs and lo <= runs[-1]["hi"]:
+                        runs[-1]["hi"] = max(runs[-1]["hi"], hi)
+                    else:
+                        runs.append({"lo": lo, "hi": hi})
+                out.append(runs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], names=["doc_id", "spans"])
+
+    return spans.select("doc_id", "spans").mapInArrow(run, "doc_id long, spans array<struct<lo: long, hi: long>>")
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs with a column spans, null where nothing goes; few ranges are broadcast, many are joined by a shuffle."""
+    if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_RANGES:
+        spans = F.broadcast(spans)
+    else:
+        spans = spans.hint("merge")
+    return docs.join(spans, "doc_id", "left")
+
+
 def only(df: DataFrame, ids: DataFrame, by: str) -> DataFrame:
     """Rows whose id is among distinct ids; those are broadcast up to BROADCAST_ROWS, else both sides are shuffled."""
     if ids.count() <= BROADCAST_ROWS:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import BROADCAST_ROWS, only, stored, texts
+from lumengrid.llm.common import discard, merged_spans, only, stored, texts, with_spans
 
 SIZE, GRAM, RUNS = 20, 10, 8
 SPAN = SIZE - GRAM + 1
@@ -113,14 +113,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_spans(docs: DataFrame, index: DataFrame | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """doc_id and spans (unordered word ranges lo to hi to remove), and the runs that the documents add to the index.
+    """doc_id and spans (word ranges lo to hi to remove), and the runs that the documents add to the index.
 
     With an index, its documents (history: doc_id and text, ids other than those of docs) count as earlier ones.
     """
     plain = texts(docs)
-    signed = stored(anchored(plain))
-    distinct = stored(signed.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("keys", "doc_id").alias("keys")))
-    runs = new_runs(distinct)
+    full = stored(anchored(plain))
+    wide = stored(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("keys", "doc_id").alias("keys")))
+    signed, distinct, runs = stored(full.drop("keys")), stored(wide.drop("keys")), new_runs(wide)
+    discard(full, wide)
     entries, bodies = runs.select("key", "id", "nth", F.lit(1).alias("new")), plain.select(F.col("doc_id").alias("id"), "text", F.lit(1).alias("new"))
     if index is not None:
         entries = entries.unionByName(index.select("key", "id", "nth", F.lit(0).alias("new")))
@@ -144,7 +145,9 @@ def removed_spans(docs: DataFrame, index: DataFrame | None = None, history: Data
     # copies: the first keeps what its own windows leave
     copies = signed.select("doc_id", "a", "b", "n").join(distinct.where(f"copies > 1 and n >= {SIZE}").select("a", "b", "n", "id"), ["a", "b", "n"])
     copies = copies.where("doc_id <> id").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))).alias("spans")).dropDuplicates(["doc_id"])
-    return stored(gone.unionByName(copies)), runs
+    out = stored(merged_spans(gone.unionByName(copies)))
+    discard(signed, distinct, listed, bodies, found, groups, single)
+    return out, runs
 
 
 def deduplicate(docs: DataFrame, index: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
@@ -169,6 +172,4 @@ def deduplicate(docs: DataFrame, index: DataFrame | None = None, history: DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     spans, _ = removed_spans(docs, index, history)
-    if spans.count() <= BROADCAST_ROWS // 4:
-        spans = F.broadcast(spans)
-    return texts(docs).join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return with_spans(texts(docs), spans).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
