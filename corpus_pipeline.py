@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengrid.llm import kneserney, minhash, packing, secrets, suffixarray
-from lumengrid.llm.common import BROADCAST_ROWS, prepare, shared_dir
+from lumengrid.llm.common import BROADCAST_ROWS, prepare, shared_dir, with_spans
 from lumengrid.llm.queries import WORD_BPE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,7 +72,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             return text
         return suffixarray.cut(text.encode(), [(s["lo"], s["hi"]) for s in spans])[0].decode(errors="ignore")
 
-    return _rewritten(suffixarray.with_spans(docs.select(*COLUMNS), suffixarray.removed_spans(docs)), change, spans=True)
+    return _rewritten(with_spans(docs.select(*COLUMNS), suffixarray.removed_spans(docs)), change, spans=True)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

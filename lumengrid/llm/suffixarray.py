@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import BROADCAST_ROWS, discard, only, stored, tasks, texts
+from lumengrid.llm.common import discard, merged_spans, only, stored, tasks, texts, with_spans
 from lumengrid.llm.order import running
 
 #: Bytes of a match, hashes an anchor is the least of, bytes of a hash, windows checked together, letters compared.
@@ -254,7 +254,7 @@ def repeated(plain: DataFrame, found: DataFrame) -> tuple[DataFrame, list[DataFr
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: unordered byte ranges (lo, hi) to remove, for documents that have any."""
+    """doc_id and spans: byte ranges (lo, hi) to remove, for documents that have any."""
     plain = texts(docs)
     full = stored(strings(plain))
     wide = stored(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("letters", "doc_id").alias("letters")))
@@ -268,7 +268,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     ranges = ranges.join(alone, "id").select(F.col("id").alias("doc_id"), "spans")
     copies = distinct.where(f"copies > 1 and n >= {LENGTH}").select("a", "b", "n")
     copies = signed.select("doc_id", "a", "b", "n").join(copies, ["a", "b", "n"]).select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))).alias("spans")).dropDuplicates(["doc_id"])
-    out = stored(ranges.unionByName(copies))
+    out = stored(merged_spans(ranges.unionByName(copies)))
     discard(signed, distinct, found, *spent)
     return out
 
@@ -288,13 +288,6 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
     return b"".join([*left, data[at:]]), [(lo, hi) for lo, hi in runs]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with a column spans, null where nothing goes; few spans are broadcast, many are joined by a shuffle."""
-    if spans.count() <= BROADCAST_ROWS // 4:
-        spans = F.broadcast(spans)
-    return docs.join(spans, "doc_id", "left")
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left)."""
 
