@@ -6,10 +6,12 @@
 2. In each bucket every set is paired with one centre, so that pairs grow with the rows and not with their square.
    Pairs whose sizes allow the similarity are confirmed on the full sets, and links make components.
 3. Buckets that still hold several components get CENTRES other centres, each paired with the sets outside its own
-   component, round after round, until a round finds no link.
+   component, round after round, until a round finds few links (one in FEW of all) or none.
+4. All sets of buckets that are divided even then go through an exact join: shingles are ordered from rare to common, and
+   the pairs of different components that share one in their prefixes, where sizes and places allow the similarity, are
+   confirmed. Its links are added, whatever their number.
 
-With 36 bands of 4 rows a pair at the least similarity shares no bucket with probability 1e-6; it is also lost
-if it never meets a centre in any bucket that it shares and nothing else joins the two.
+With 36 bands of 4 rows a pair at the least similarity shares no bucket with probability 1e-6, the only way to be lost.
 
 Null and empty texts have empty sets, linked with nothing. Texts of fewer words are one shingle as a whole. Rows that
 share a doc_id are linked by it. Ties of rank go to the smaller doc_id. Other columns are left out.
@@ -31,6 +33,8 @@ from lumengrid.llm.graph import components
 SHINGLE, BANDS, ROWS, PERCENT = 5, 36, 4, 75
 #: Centres of a bucket that is still divided, in each further round.
 CENTRES = 8
+#: Rounds end once they find less than one in so many of the links so far; slots in which shingles are counted for their order.
+FEW, SLOTS = 100, 1 << 18
 BINS = BANDS * ROWS
 _ORDER = np.stack([np.random.default_rng(k).permutation(BINS) for k in range(BINS)])
 
@@ -112,6 +116,72 @@ def confirm(pairs: DataFrame, plain: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _slot_counts(bodies: DataFrame) -> np.ndarray:
+    """How many sets of (id, text) hold a shingle of each slot, repeats within a set included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for c in tk.chunks(batch.column(1)):
+                for s in sets(c):
+                    np.add.at(total, _slot(s), 1)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["slot", "sets"])
+
+    out = np.zeros(SLOTS, dtype=np.int64)
+    table = bodies.select("id", "text").mapInArrow(run, "slot long, sets long").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()
+    out[table.column("slot").to_numpy()] = table.column("sets").to_numpy()
+    return out
+
+
+def prefixes(bodies: DataFrame, percent: int) -> DataFrame:
+    """id, n, shingle, left (shingles from this one on, rare ones first) and short, for the prefixes of sets of (id, text).
+
+    Similar sets share a shingle of both prefixes, which is in the short one of the smaller set.
+    """
+    counts = _slot_counts(bodies)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in tk.chunks(batch.column(1)):
+                ids, sizes, found, left = [], [], [], []
+                for i, s in zip(batch.column(0).slice(c.lo, c.hi - c.lo).to_pylist(), sets(c), strict=True):
+                    s = s[np.lexsort((s, counts[_slot(s)]))]
+                    rest = np.arange(len(s), 0, -1)
+                    k = int((100 * rest >= percent * len(s)).sum())
+                    ids.append(np.full(k, i, dtype=np.int64))
+                    sizes.append(np.full(k, len(s), dtype=np.int64))
+                    found.append(s[:k].astype(np.int64))
+                    left.append(rest[:k])
+                if ids:
+                    n, r = np.concatenate(sizes), np.concatenate(left)
+                    arrays = [np.concatenate(ids), n, np.concatenate(found), r, (100 + percent) * r >= 2 * percent * n]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["id", "n", "shingle", "left", "short"])
+
+    return bodies.select("id", "text").mapInArrow(run, "id long, n long, shingle long, left long, short boolean")
+
+
+def exact_pairs(bodies: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (u, v) of ids of (id, text) in different components that prefixes, sizes and places allow to be similar."""
+    rows = prefixes(bodies, percent)
+    if label is None:
+        rows = rows.withColumn("c", F.col("id"))
+    else:
+        rows = rows.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    rows = stored(rows)
+    useful = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("short").alias("any")).where("any and low < high").select("shingle")
+    rows = stored(rows.join(useful, "shingle"))
+    side = lambda x: rows.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("id", "n", "left", "short", "c")))
+    a, b = side("u").where("short_u"), side("v")
+    fits = (F.col("c_u") != F.col("c_v")) & ((F.col("n_u") < F.col("n_v")) | (F.col("n_u") == F.col("n_v")) & (F.col("id_u") < F.col("id_v")))
+    fits &= (100 * F.col("n_u") >= percent * F.col("n_v")) & ((100 + percent) * F.least("left_u", "left_v") >= percent * (F.col("n_u") + F.col("n_v")))
+    return a.join(b, (a.shingle == b.shingle) & fits).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     plain = texts(docs)
@@ -122,21 +192,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     dealt = stored(dealt.join(shared, "bucket"))
     wanted = stored(dealt.select("id").distinct())
     bodies = stored(only(plain.withColumnRenamed("doc_id", "id"), wanted, "id").groupBy("id").agg(F.first("text").alias("text")))
-    links, label, turn = None, None, 0
+    links, label, turn, many = None, None, 0, 0
+
+    def placed() -> DataFrame:
+        if label is None:
+            return dealt.withColumn("c", F.col("id"))
+        return dealt.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
+
     while True:
-        rows = dealt if label is None else dealt.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
-        rows = rows if label is not None else rows.withColumn("c", F.col("id"))
+        rows = placed()
         seeds = range(1) if label is None else range(CENTRES * turn, CENTRES * (turn + 1))
         rank = lambda k: F.struct(F.xxhash64("id", F.lit(k)).alias("r"), "id", "n", "c")
         centre = rows.groupBy("bucket").agg(F.array(*(F.min(rank(k)) for k in seeds)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         other = lambda m: (m.c != F.col("c")) & (100 * F.least(F.col("n"), m.n) >= percent * F.greatest(F.col("n"), m.n))
         pairs = rows.join(centre.select("bucket", "m"), "bucket").select(F.col("id").alias("u"), F.explode(F.array_distinct(F.transform(F.filter("m", other), lambda m: m.id))).alias("v")).distinct()
         found = stored(confirm(pairs, bodies, percent))
-        if found.isEmpty():
+        new = found.count()
+        if new:
+            links = found if links is None else links.unionByName(found)
+            label = stored(components(links).withColumnRenamed("node", "id"))
+            many += new
+            turn += 1
+        if FEW * new < many or not new:
             break
-        links = found if links is None else links.unionByName(found)
-        label = stored(components(links).withColumnRenamed("node", "id"))
-        turn += 1
+    divided = placed().groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    open_ids = stored(dealt.join(divided, "bucket").select("id").distinct())
+    if not open_ids.isEmpty():
+        found = stored(confirm(exact_pairs(only(bodies, open_ids, "id"), label, percent), bodies, percent))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            label = stored(components(links).withColumnRenamed("node", "id"))
     own = signed.select("doc_id", "n", "a", "b").join(distinct.select("a", "b", "n", "id"), ["a", "b", "n"], "left")
     if label is not None:
         own = own.join(label, "id", "left")

@@ -55,6 +55,14 @@ def test_minhash_repeated_rows(spark):
     assert minhash.near_duplicates(df).count() == len(fx.texts()) + 1
 
 
+def test_minhash_template_family(spark):
+    """300 pairs of similarity 84 / 108 in one family, whose other pairs have 80 / 112."""
+    template = " ".join(f"t{k}" for k in range(84))
+    rows = [(2 * p + s, " ".join([template, *(f"p{p}x{k}" for k in range(4)), *(f"u{p}x{s}x{k}" for k in range(12))])) for p in range(300) for s in range(2)]
+    got = minhash.near_duplicates(prepare(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (102, 102), (103, 101)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "u long, v long")).collect()}
