@@ -137,6 +137,14 @@ def test_kneserney_is_a_distribution_and_finds_junk(spark):
     assert all(r.kept for r in kneserney.classify(df, fx.empty(marks)).collect())
 
 
+def test_kneserney_threshold_is_near_a_quantile(spark):
+    scored = spark.range(1000).selectExpr("id AS doc_id", "'en' AS lang", "1000 + id AS level", "true AS trusted")
+    held = sorted(r.level for r in scored.where(kneserney._held()).collect())
+    got = {r.lang: r.most for r in kneserney.thresholds(scored).collect()}
+    high, mid = (held[-(-len(held) * q // 100) - 1] for q in (95, 50))
+    assert got == dict.fromkeys(("en", None), 2 * high - mid)
+
+
 def test_kneserney_costs_add_up(docs, spark):
     """A document's cost against n-gram by n-gram addition."""
     flagged = kneserney.with_trusted(kneserney.texts(docs), fx.labels(spark))
