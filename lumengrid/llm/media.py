@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from lumengrid.llm.common import texts
 
 #: Samples to a second, payload blocks, STFT frames and hops, frames in one transform, frames a pair may span.
-RATE, BLOCK, FRAME, HOP, AT_ONCE, REACH = 8000, 64, 256, 256, 4096, 2
+RATE, BLOCK, FRAME, HOP, AT_ONCE, REACH = 8000, 64, 256, 128, 4096, 3
 #: Frequency bins are searched for one peak in each of these bands.
-BANDS = ((1, 32), (32, 129))
+BANDS = ((1, 32), (32, 64), (64, 96), (96, 129))
 _WINDOW = np.hanning(FRAME)
 
 
@@ -45,8 +45,13 @@ def from_wav(media: bytes) -> bytes:
 
 
 def stft(samples: np.ndarray) -> Iterator[np.ndarray]:
-    """Magnitudes by frame and frequency, at most AT_ONCE frames at a time; the last frame is filled with silence."""
-    count = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
+    """Magnitudes by frame and frequency, at most AT_ONCE frames at a time.
+
+    Frames are centred on every HOP-th sample, with silence around, so that no sample is left to window ends alone; there
+    are at least as many as a pair may span.
+    """
+    count = max(REACH + 1, -(-len(samples) // HOP) + 1)
+    samples = np.pad(samples, (FRAME // 2, 0), constant_values=128)
     for lo in range(0, count, AT_ONCE):
         n = min(AT_ONCE, count - lo)
         part = samples[lo * HOP : (lo + n - 1) * HOP + FRAME].astype(np.float64) - 128

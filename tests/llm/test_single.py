@@ -44,6 +44,21 @@ def test_peaks_find_a_tone():
     assert set(media.peaks(tone)[:-1, 1]) == {60}
 
 
+def test_short_media_differ():
+    rng = np.random.default_rng(3)
+    short = [rng.integers(97, 123, size, dtype=np.uint8) for size in (64, 128, 192, 256) for _ in range(50)]
+    codes = [tuple(media.fingerprint(x)) for x in short]
+    assert all(codes) and len(set(codes)) == len(short)
+
+
+def test_every_sample_counts():
+    silent = np.full(600, 128, np.uint8)
+    for k in range(600):
+        one = silent.copy()
+        one[k] = 255
+        assert np.concatenate(list(media.stft(one))).max() > 60
+
+
 def page(body):
     return f"<html><head><title>t</title><style>p{{}}</style><script>var x='</p>';</script></head><body>{body}</body></html>"
 
