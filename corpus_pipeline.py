@@ -58,8 +58,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near-duplicates stays."""
     prepare(spark)
     kept = _chosen(docs, minhash.near_duplicates(docs))
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id"])
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept
 
 

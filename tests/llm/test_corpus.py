@@ -176,6 +176,12 @@ def test_pipeline(spark, tmp_path):
     assert now.where(F.col("text").isNotNull() & (F.length("text") != F.col("n_chars"))).count() == 0
 
 
+def test_near_keeps_rows_without_id(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "11L AS n_chars")
+    assert sorted(r.text for r in corpus_pipeline.near(spark, docs, "").collect()) == ["a b c d e f", "g h i j k l", "m n o p q r"]
+
+
 def test_empty_pipeline(spark, tmp_path):
     fx.empty(fx.documents(spark)).write.parquet(f"{tmp_path}/documents.parquet")
     fx.labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
