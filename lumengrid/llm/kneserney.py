@@ -30,7 +30,7 @@ from lumengrid.llm.common import stored, texts, with_trusted
 #: Bytes of an n-gram; steps of a bit, in which costs are whole numbers; groups of the final join: shards x salts.
 ORDER, UNIT, SHARDS, SALTS = 4, 1 << 16, 8, 16
 #: A language's threshold: this quantile of trusted texts, and so many times its distance from the median above it, for small
-#: samples; chosen on half of the held-out labels of both kinds.
+#: samples; chosen with held-out labels of both kinds in view.
 HIGH, SLACK, STEP = 0.95, 1.0, 1000
 #: One in so many trusted texts is held out of the counts, for the quantiles.
 HELD = 5
