@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumengrid.llm.common import slices, texts
+from lumengrid.llm.common import lean, slices, texts
 
 #: Distinct chunks a worker keeps at most, pieces in one recursive query, and DuckDB's memory.
 KEPT, AT_ONCE, MEMORY = 600_000, 50_000, "300MB"
@@ -190,4 +190,4 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True) ->
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
                 at += len(part)
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(lean(run), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import slices
+from lumengrid.llm.common import lean, slices
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_behind", "link_density_behind", "inside", "outside")
 
@@ -221,4 +221,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 at += len(part)
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

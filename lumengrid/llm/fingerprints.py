@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import discard, merged_spans, only, stored, texts, with_spans
+from lumengrid.llm.common import discard, lean, merged_spans, only, stored, texts, with_spans
 
 SIZE, GRAM, RUNS = 20, 10, 8
 SPAN = SIZE - GRAM + 1
@@ -71,7 +71,7 @@ def anchored(plain: DataFrame) -> DataFrame:
             arrays = [batch.column(0), pa.array(n, pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "a", "b", "keys"])
 
-    return plain.mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>")
+    return plain.mapInArrow(lean(run), "doc_id long, n long, a long, b long, keys array<long>")
 
 
 def new_runs(distinct: DataFrame) -> DataFrame:
@@ -129,14 +129,14 @@ def removed_spans(docs: DataFrame, index: DataFrame | None = None, history: Data
     met = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("key")
     listed = stored(entries.join(met, "key").groupBy("id").agg(F.array_sort(F.collect_set("nth")).alias("nth")))
     bodies = stored(only(bodies, listed.select("id"), "id").groupBy("id").agg(F.first("text").alias("text"), F.max("new").alias("new")))
-    found = bodies.join(listed, "id").select("id", "text", "nth").mapInArrow(_contexts, "id long, lo long, hi long, key long, a long, b long")
+    found = bodies.join(listed, "id").select("id", "text", "nth").mapInArrow(lean(_contexts), "id long, lo long, hi long, key long, a long, b long")
     found = stored(found.join(bodies.select("id", "new"), "id"))
     groups = stored(found.groupBy("key", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("new", "id", "lo", "hi")).alias("m")))
     place = F.struct("new", "id", "lo", "hi")
     later = found.join(groups.where("n > 1").select("key", "a", "b", "m"), ["key", "a", "b"]).where(place != F.col("m")).select("id", "lo", "hi")
     several = groups.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     ranges = groups.join(several, "key").groupBy(F.col("m.id").alias("id")).agg(F.collect_list(F.struct("m.lo", "m.hi")).alias("ranges"))
-    single = bodies.join(ranges, "id").select("id", "text", "ranges").mapInArrow(_windows, "id long, p long, a long, b long")
+    single = bodies.join(ranges, "id").select("id", "text", "ranges").mapInArrow(lean(_windows), "id long, p long, a long, b long")
     single = stored(single.join(bodies.select("id", "new"), "id"))
     first = single.groupBy("a", "b").agg(F.min(F.struct("new", "id", "p")).alias("m"), F.max(F.struct("new", "id", "p")).alias("z")).where("m <> z")
     one = single.join(first, ["a", "b"]).where(F.struct("new", "id", "p") != F.col("m")).select("id", F.col("p").alias("lo"), F.col("p").alias("hi"))
@@ -172,4 +172,4 @@ def deduplicate(docs: DataFrame, index: DataFrame | None = None, history: DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     spans, _ = removed_spans(docs, index, history)
-    return with_spans(texts(docs), spans).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return with_spans(texts(docs), spans).select("doc_id", "text", "spans").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import stored, texts, with_trusted
+from lumengrid.llm.common import lean, stored, texts, with_trusted
 
 #: Bytes of an n-gram; steps of a bit, in which costs are whole numbers; groups of the final join: shards x salts.
 ORDER, UNIT, SHARDS, SALTS = 4, 1 << 16, 8, 16
@@ -88,7 +88,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             part = slice(lo, lo + 200_000)
             yield pa.RecordBatch.from_arrays([pa.array(total[0][part].astype(np.int64)), pa.array(total[1][part])], names=["gram", "count"])
 
-    return docs.select("doc_id", "text", "trusted").mapInArrow(run, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
+    return docs.select("doc_id", "text", "trusted").mapInArrow(lean(run), "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -171,7 +171,7 @@ def postings(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "salt", "ids", "grams", "lengths", "docs", "counts"])
 
-    return docs.mapInArrow(run, "shard int, salt int, ids array<long>, grams binary, lengths binary, docs binary, counts binary")
+    return docs.mapInArrow(lean(run), "shard int, salt int, ids array<long>, grams binary, lengths binary, docs binary, counts binary")
 
 
 def score(docs: DataFrame, priced: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def score(docs: DataFrame, priced: DataFrame) -> DataFrame:
         flat = lambda x: pa.array(np.concatenate(x).astype(np.int64))
         return pa.table({"doc_id": pa.concat_arrays(out_id), "cost": flat(out_cost), "symbols": flat(out_n)})
 
-    right = priced.mapInArrow(table, "shard int, salt int, gram long, cost long")
+    right = priced.mapInArrow(lean(table), "shard int, salt int, gram long, cost long")
     left = postings(docs)
     schema = "doc_id long, cost long, symbols long"
     return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(meet, schema).groupBy("doc_id").agg(F.sum("cost").alias("cost"), F.sum("symbols").alias("symbols"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumengrid.llm.common import texts
+from lumengrid.llm.common import lean, texts
 
 #: Samples to a second, payload blocks, STFT frames and hops, frames in one transform, frames a pair may span.
 RATE, BLOCK, FRAME, HOP, AT_ONCE, REACH = 8000, 64, 256, 128, 4096, 3
@@ -85,7 +85,7 @@ def with_media(docs: DataFrame) -> DataFrame:
             media = [to_wav(x.ljust(max(BLOCK, -(-len(x) // BLOCK) * BLOCK), b"\0")) for x in plain]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, plain), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -106,4 +106,4 @@ def media_features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fingerprint"])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fingerprint array<long>"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)

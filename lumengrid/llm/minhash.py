@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import only, stored, texts
+from lumengrid.llm.common import lean, only, stored, texts
 from lumengrid.llm.graph import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 36, 4, 75
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 arrays = [batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(n, pa.int64()), *(pa.array([k[i] for k in key], pa.int64()) for i in (0, 1)), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "a", "b", "buckets"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, buckets array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, a long, b long, buckets array<long>")
 
 
 def confirm(pairs: DataFrame, plain: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -113,7 +113,7 @@ def confirm(pairs: DataFrame, plain: DataFrame, percent: int = PERCENT) -> DataF
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], names=["u", "v"])
 
     side = lambda name: plain.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(lean(run), "u long, v long")
 
 
 def _slot(shingles: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def _slot_counts(bodies: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["slot", "sets"])
 
     out = np.zeros(SLOTS, dtype=np.int64)
-    table = bodies.select("id", "text").mapInArrow(run, "slot long, sets long").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()
+    table = bodies.select("id", "text").mapInArrow(lean(run), "slot long, sets long").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()
     out[table.column("slot").to_numpy()] = table.column("sets").to_numpy()
     return out
 
@@ -162,7 +162,7 @@ def prefixes(bodies: DataFrame, percent: int) -> DataFrame:
                     arrays = [np.concatenate(ids), n, np.concatenate(found), r, (100 + percent) * r >= 2 * percent * n]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["id", "n", "shingle", "left", "short"])
 
-    return bodies.select("id", "text").mapInArrow(run, "id long, n long, shingle long, left long, short boolean")
+    return bodies.select("id", "text").mapInArrow(lean(run), "id long, n long, shingle long, left long, short boolean")
 
 
 def exact_pairs(bodies: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import stored, tasks
+from lumengrid.llm.common import lean, stored, tasks
 
 
 def running(df: DataFrame, by: list, flag: str) -> DataFrame:
@@ -34,7 +34,7 @@ def running(df: DataFrame, by: list, flag: str) -> DataFrame:
                 hits, rest = hits + int(upto[-1]), rest + int(more[-1])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", hits long, rest long, part int, own long"
-    local = stored(df.repartitionByRange(tasks(spark), *by).sortWithinPartitions(*by).mapInArrow(run, schema))
+    local = stored(df.repartitionByRange(tasks(spark), *by).sortWithinPartitions(*by).mapInArrow(lean(run), schema))
     sums = sorted(local.groupBy("part").agg(F.sum("own"), F.count("*")).collect())
     starts, hits, rest = [], 0, 0
     for part, a, n in sums:

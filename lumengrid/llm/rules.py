@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import texts, with_trusted
+from lumengrid.llm.common import lean, texts, with_trusted
 
 #: Buckets, added count, least mean log ratio of a kept document.
 BUCKETS, ADDED, LEAST = 1 << 16, 1.0, -0.75
@@ -62,7 +62,7 @@ def multinomials(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], names=["bucket", "raw", "trusted"])
 
-    rows = with_trusted(texts(docs), labels).select("text", "trusted").mapInArrow(count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted")).collect()
+    rows = with_trusted(texts(docs), labels).select("text", "trusted").mapInArrow(lean(count), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted")).collect()
     counts = np.zeros((2, BUCKETS))
     for bucket, raw, own in rows:
         counts[:, bucket] = raw, own
@@ -118,4 +118,4 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(lean(run), schema)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumengrid.llm.common import texts
+from lumengrid.llm.common import lean, texts
 
 # Fixed values of the contract: kinds in order, their patterns, and the least length of what must be long.
 BASE = (
@@ -145,7 +145,7 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
 
 
 def redact(text: str, mark: str = "[REDACTED]") -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import discard, merged_spans, only, stored, tasks, texts, with_spans
+from lumengrid.llm.common import discard, lean, merged_spans, only, stored, tasks, texts, with_spans
 from lumengrid.llm.order import running
 
 #: Bytes of a match, hashes an anchor is the least of, bytes of a hash, windows checked together, letters compared.
@@ -111,7 +111,7 @@ def strings(plain: DataFrame) -> DataFrame:
             arrays = [batch.column(0), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(letters, kind)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "a", "b", "letters"])
 
-    return plain.mapInArrow(run, "doc_id long, n long, a long, b long, letters array<struct<x: long, reach: smallint>>")
+    return plain.mapInArrow(lean(run), "doc_id long, n long, a long, b long, letters array<struct<x: long, reach: smallint>>")
 
 
 def suffix_order(strings: DataFrame, enough: int = LENGTH) -> DataFrame:
@@ -236,7 +236,7 @@ def repeated(plain: DataFrame, found: DataFrame) -> tuple[DataFrame, list[DataFr
     listed = stored(listed)
     bodies = stored(only(plain.withColumnRenamed("doc_id", "id"), listed.select("id"), "id").groupBy("id").agg(F.first("text").alias("text")))
     checks = stored(
-        bodies.join(listed, "id").select("id", "text", "i").mapInArrow(_checks, "id long, lo long, hi long, a long, b long, parts array<struct<lo: long, hi: long, core: long, a: long, b: long>>")
+        bodies.join(listed, "id").select("id", "text", "i").mapInArrow(lean(_checks), "id long, lo long, hi long, a long, b long, parts array<struct<lo: long, hi: long, core: long, a: long, b: long>>")
     )
     groups = checks.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("m"), F.min_by("parts", F.struct("id", "lo")).alias("parts"))
     groups = stored(groups)
@@ -247,7 +247,7 @@ def repeated(plain: DataFrame, found: DataFrame) -> tuple[DataFrame, list[DataFr
     by_step = parts.where("same > 1").select(F.explode("open").alias("o")).select("o.*")
     several = parts.groupBy("core").agg(F.count("*").alias("k"), F.max(((F.col("same") == 1) & (F.col("n") == 1)).cast("int")).alias("left")).where("k > 1 and left = 1").select("core")
     ranges = parts.join(several, "core").groupBy(F.col("m.id").alias("id")).agg(F.collect_list(F.struct("m.lo", "m.hi")).alias("ranges"))
-    single = stored(bodies.join(ranges, "id").select("id", "text", "ranges").mapInArrow(_windows, "id long, p long, a long, b long"))
+    single = stored(bodies.join(ranges, "id").select("id", "text", "ranges").mapInArrow(lean(_windows), "id long, p long, a long, b long"))
     again = single.groupBy("a", "b").agg(F.countDistinct("id", "p").alias("n")).where("n > 1").select("a", "b")
     by_one = single.join(again, ["a", "b"]).select("id", F.col("p").alias("lo"), F.col("p").alias("hi"))
     return whole.unionByName(by_step).unionByName(by_one), [listed, bodies, checks, groups, parts, single]
@@ -303,4 +303,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = with_spans(texts(docs), removed_spans(docs)).select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

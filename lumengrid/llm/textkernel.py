@@ -6,6 +6,7 @@ the batch; a single longer text makes a chunk of its own. Nulls count as empty t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,6 +24,10 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Keeps so many low bytes of a number; longer words than LONG bytes are hashed one by one.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+LONG = 64
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -116,13 +121,35 @@ def words(chunk: Chunk) -> Words:
     return Words(starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, with zeros behind the end; a view, nothing is copied but the bytes."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,))
+
+
 def word_hashes(chunk: Chunk, w: Words, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words, mixed eight bytes at a time, so that no pattern of letters cancels out; another seed, another hash."""
     data = LOWER[chunk.data] if lower else chunk.data
-    return range_hash(prefix(data.astype(np.uint64) + np.uint64(1)), w.starts, w.ends, seed)
+    if not len(w.starts):
+        return np.zeros(0, np.uint64)
+    size, eight = w.ends - w.starts, eights(data)
+    h = mix(size.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))
+    h = mix(h ^ eight[w.starts] & _LOW[np.minimum(size, 8)])
+    who = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, LONG, 8):
+        if not len(who):
+            break
+        h[who] = mix(h[who] ^ eight[w.starts[who] + k] & _LOW[np.minimum(size[who] - k, 8)])
+        who = who[size[who] > k + 8]
+    for k in np.flatnonzero(size > LONG):
+        word = data[w.starts[k] : w.ends[k]].tobytes()
+        h[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def window_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all runs of size words, over row limits too; a caller leaves those out."""
+    """Hashes of all runs of size words (few: the sums are modulo 2**64), over row limits too; a caller leaves those out."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
