@@ -1,25 +1,25 @@
 """Suffix-array deduplication: bytes that a long string covers which also starts elsewhere.
 
-1. Anchors: of every WINDOW successive 8-byte hashes the least (the last of equal ones) is an anchor; so equal
-   windows of LENGTH bytes have their first anchor at the same place, and the blocks between anchors agree.
+1. Anchors: of every window() successive 8-byte hashes the least (the last of equal ones) is an anchor; so equal
+   windows of length bytes have their first anchor at the same place, and the blocks between anchors agree.
    Blocks are the letters of a string for each distinct text. A letter that occurs once ends every match: strings
    are cut there.
 2. The suffixes of these strings are sorted by the difference-cover algorithm: sampled suffixes (places 1 and 2 of
-   each three) are sorted by triples, which get names; strings of names are sorted in the same way until all
-   names that occur twice stand for LENGTH bytes; then the remaining suffixes are merged, by counting those of
+   each three) are sorted by triples, which get names; strings of those names that occur twice and stand for fewer
+   than length bytes, cut behind the first other name, are sorted in the same way; then the remaining suffixes are merged, by counting those of
    each other class that come before. Sorting, naming and counting are range-partitioned.
 3. Neighbours in the suffix array are compared: an anchor stays if it agrees with one on enough bytes for a match.
-4. An exact check by 128-bit hashes decides for each window of LENGTH bytes that starts at one of those anchors'
+4. An exact check by 128-bit hashes decides for each window of length bytes that starts at one of those anchors'
    places, first for all windows of an anchor at once, then for STEP of them, and only then one by one.
 
 Texts that occur twice are all copies, and one of them takes part in the rest. A null text counts as empty; texts
-under LENGTH bytes keep everything. Matches are judged on the input. A doc_id must not have two different texts.
+under length bytes keep everything. Matches are judged on the input. A doc_id must not have two different texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,44 +31,50 @@ from lumengrid.llm import textkernel as tk
 from lumengrid.llm.common import discard, lean, merged_spans, only, stored, tasks, texts, with_spans
 from lumengrid.llm.order import running
 
-#: Bytes of a match, hashes an anchor is the least of, bytes of a hash, windows checked together, letters compared.
-LENGTH, WINDOW, GRAM, STEP, AHEAD = 400, 128, 8, 16, 6
+#: Bytes of a match, bytes of a hash, windows checked together, letters compared.
+LENGTH, GRAM, STEP, AHEAD = 400, 8, 16, 6
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """The anchor of each start of WINDOW hashes, for a text of LENGTH bytes or more."""
-    size = len(data) - GRAM + 1
-    h = np.zeros(size, dtype=np.uint64)
-    for k in range(GRAM):
-        h |= data[k : k + size].astype(np.uint64) << np.uint64(8 * k)
-    h = tk.mix(h) & ~_PLACE
+def window(length: int) -> int:
+    """Of how many hashes an anchor is the least: so few that a match holds two anchors at least, and that block sizes take 7 bits."""
+    if length < 64:
+        raise ValueError("matches of 64 bytes at least are looked for")
+    return min(128, (length - GRAM) // 2)
+
+
+def anchors(h: np.ndarray, span: int) -> np.ndarray:
+    """The anchor of each start of span hashes."""
+    h = h & ~_PLACE
     out = []
-    for lo in range(0, size - WINDOW + 1, 1 << 22):  # places inside a part fit 24 bits
-        part = h[lo : lo + (1 << 22) + WINDOW - 1]
-        least, span = part | (_PLACE - np.arange(len(part), dtype=np.uint64)), 1
-        while span < WINDOW:
-            step = min(span, WINDOW - span)
+    for lo in range(0, len(h) - span + 1, 1 << 22):  # places inside a part fit 24 bits
+        part = h[lo : lo + (1 << 22) + span - 1]
+        least, done = part | (_PLACE - np.arange(len(part), dtype=np.uint64)), 1
+        while done < span:
+            step = min(done, span - done)
             least = np.minimum(least[:-step], least[step:])
-            span += step
+            done += step
         out.append(lo + (_PLACE - (least & _PLACE)).astype(np.int64))
     return np.concatenate(out)
 
 
 class Text:
-    """A text's anchors, the letters between them, and which windows of LENGTH bytes belong to each anchor."""
+    """A text's anchors, the letters between them, and which windows of length bytes belong to each anchor.
+
+    Every hash is over mixed numbers of GRAM bytes each, so that ranges are told by the GRAM - 1 bytes behind their last start too.
+    """
 
-    def __init__(self, data: np.ndarray) -> None:
-        of = anchors(data)
+    def __init__(self, data: np.ndarray, length: int) -> None:
+        grams = tk.mix(tk.eights(data)[: len(data) - GRAM + 1])
+        of = anchors(grams, window(length))
         self.at = np.unique(of)
-        self.sums = tk.prefix(data.astype(np.uint64) + np.uint64(1))
-        starts = of[: len(data) - LENGTH + 1]
+        self.grams, self.sums = grams, tk.prefix(grams)
+        starts = of[: len(data) - length + 1]
         self.lo = np.searchsorted(starts, self.at, "left")
         self.hi = np.searchsorted(starts, self.at, "right") - 1
-        self.size = len(data)
 
     def letters(self) -> np.ndarray:
-        """55 bits of a block's hash and 7 of its length."""
+        """55 bits of a block's hash and 7 of its length. A block's hash takes the GRAM - 1 bytes behind it in, as its next anchor does."""
         h = tk.range_hash(self.sums, self.at[:-1], self.at[1:])
         return ((h >> np.uint64(1)) & ~np.uint64(127) | (np.diff(self.at) - 1).astype(np.uint64)).astype(np.int64)
 
@@ -77,14 +83,11 @@ class Text:
         return np.where(self.hi >= self.lo, self.at - self.lo, -1)[:-1]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = tk.range_hash(self.sums, starts, ends, 11)
-        again = self.second(starts, ends)
-        return tk.mix(first ^ salt.astype(np.uint64)).astype(np.int64), tk.mix(again + salt.astype(np.uint64)).astype(np.int64)
-
-    def second(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Two hashes of bytes starts to ends, GRAM of them at least."""
         if not hasattr(self, "more"):
-            self.more = tk.prefix(tk.mix(np.diff(self.sums) * tk.powers(self.size, True) + np.uint64(77)))
-        return tk.range_hash(self.more, starts, ends, 13)
+            self.more = tk.prefix(tk.mix(self.grams + np.uint64(77)))
+        last, salt = ends - GRAM + 1, salt.astype(np.uint64)
+        return tk.mix(tk.range_hash(self.sums, starts, last, 11) ^ salt).astype(np.int64), tk.mix(tk.range_hash(self.more, starts, last, 13) + salt).astype(np.int64)
 
 
 def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -93,7 +96,7 @@ def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]
             yield c.lo + k, c.data[c.offsets[k] : c.offsets[k + 1]]
 
 
-def strings(plain: DataFrame) -> DataFrame:
+def strings(plain: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n (bytes), a and b (a 128-bit hash of the text), letters with their reach (null for short texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +105,10 @@ def strings(plain: DataFrame) -> DataFrame:
             for _, data in _rows(batch, 1):
                 n.append(len(data))
                 keys.append(np.frombuffer(hashlib.sha256(data.tobytes()).digest()[:16], dtype=np.int64))
-                if len(data) < LENGTH:
+                if len(data) < length:
                     letters.append(None)
                 else:
-                    t = Text(data)
+                    t = Text(data, length)
                     letters.append([{"x": x, "reach": r} for x, r in zip(t.letters().tolist(), t.reach().tolist(), strict=True)])
             kind = pa.list_(pa.struct([("x", pa.int64()), ("reach", pa.int16())]))
             arrays = [batch.column(0), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(letters, kind)]
@@ -134,22 +137,30 @@ def suffix_order(strings: DataFrame, enough: int = LENGTH) -> DataFrame:
     # sort sampled triples: a name is a triple's place among the distinct ones
     named = sample.groupBy(*triple).agg(F.count("*").alias("n"), F.max("size").alias("size"))
     named = stored(named.repartitionByRange(tasks(spark), *triple).sortWithinPartitions(*triple).select(*triple, "n", "size", (F.monotonically_increasing_id() + 1).alias("name")))
-    below = F.xxhash64("s", F.col("j") % 3).bitwiseAND((1 << 62) - 1)
-    sample = stored(sample.select("s", "j", *triple, below.alias("s2"), F.floor(F.col("j") / 3).alias("j2")).join(named.select(*triple, "name", "size"), triple).drop(*triple))
+    # a name that occurs once, or stands for enough, settles every comparison that reaches it
+    settled = (F.col("n") == 1) | (F.col("size") >= enough)
+    below = F.xxhash64("s", F.col("j") % 3)
+    sample = sample.select("s", "j", *triple, below.alias("s2"), F.floor(F.col("j") / 3).alias("j2")).join(named.select(*triple, "name", "size", settled.alias("settled")), triple)
+    v = Window.partitionBy("s2").orderBy("j2")
+    last = F.coalesce(F.max(F.when(F.col("settled"), F.col("j2"))).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1).cast("long"))
+    sample = stored(sample.select("s", "j", "s2", "j2", "name", "size", "settled", last.alias("last")))
     spent = [full, named, sample]
-    if named.where((F.col("n") > 1) & (F.col("size") < enough)).isEmpty():
-        ranked = sample.select("s", "j", F.col("name").alias("rank"))
-    else:  # recurse on names
-        deeper = suffix_order(sample.select(F.col("s2").alias("s"), F.col("j2").alias("j"), F.col("name").alias("x"), "size"), enough)
+    if sample.where("not settled").isEmpty():
+        ranked = sample.select("s", "j", F.col("name").alias("rank"), F.lit(0).cast("long").alias("more"))
+    else:  # recurse on strings of names that are not settled and the settled one behind them
+        wanted = sample.where("not settled or j2 > last + 1").withColumn("s3", F.xxhash64("s2", "last").bitwiseAND((1 << 62) - 1)).withColumn("j3", F.col("j2") - F.col("last") - 1)
+        deeper = suffix_order(wanted.select(F.col("s3").alias("s"), F.col("j3").alias("j"), F.col("name").alias("x"), "size"), enough)
         spent.append(deeper)
-        ranked = sample.join(deeper.select(F.col("s").alias("s2"), F.col("j").alias("j2"), F.col("place").alias("rank")), ["s2", "j2"]).select("s", "j", "rank")
+        ranked = wanted.select("s", "j", "name", "s3", "j3").join(deeper.select(F.col("s").alias("s3"), F.col("j").alias("j3"), F.col("place").alias("more")), ["s3", "j3"]).select("s", "j", F.col("name").alias("rank"), "more")
+        ranked = ranked.unionByName(sample.where("settled and j2 = last + 1").select("s", "j", F.col("name").alias("rank"), F.lit(0).cast("long").alias("more")))
     # merge remaining suffixes: a class is counted against each other one on keys that both have
     both = full.select("s", "j", "x", "x1").join(ranked, ["s", "j"], "left")
-    both = stored(both.select("*", F.coalesce(F.lead("rank", 1).over(w), end).alias("r1"), F.coalesce(F.lead("rank", 2).over(w), end).alias("r2"), (F.col("j") % 3 == 0).alias("zero")))
+    ahead = lambda c, k, none: F.coalesce(F.lead(c, k).over(w), none).alias(f"{c}{k}")
+    both = stored(both.select("*", *(ahead("rank", k, end) for k in (1, 2)), *(ahead("more", k, F.lit(0).cast("long")) for k in (1, 2)), (F.col("j") % 3 == 0).alias("zero")))
     discard(*spent)
-    first = running(both.where("j % 3 <> 2").select("s", "j", "x", "r1", "zero"), ["x", "r1", "s", "j"], "zero")
-    second = running(both.where("j % 3 <> 1").select("s", "j", "x", "x1", "r2", "zero"), ["x", "x1", "r2", "s", "j"], "zero")
-    samples = running(both.where("not zero").select("s", "j", "rank", "zero"), ["rank", "s", "j"], "zero")
+    first = running(both.where("j % 3 <> 2").select("s", "j", "x", "rank1", "more1", "zero"), ["x", "rank1", "more1", "s", "j"], "zero")
+    second = running(both.where("j % 3 <> 1").select("s", "j", "x", "x1", "rank2", "more2", "zero"), ["x", "x1", "rank2", "more2", "s", "j"], "zero")
+    samples = running(both.where("not zero").select("s", "j", "rank", "more", "zero"), ["rank", "more", "s", "j"], "zero")
     counts = (
         both.select("s", "j", "zero")
         .join(first.select("s", "j", F.col("hits").alias("zero1"), F.col("rest").alias("one")), ["s", "j"], "left")
@@ -162,19 +173,22 @@ def suffix_order(strings: DataFrame, enough: int = LENGTH) -> DataFrame:
     return out
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
+def candidates(distinct: DataFrame, length: int = LENGTH) -> DataFrame:
     """id and i of letters whose suffixes agree with a neighbour's on enough bytes for one of their windows to match."""
     letters = distinct.where("letters is not null").select("id", F.posexplode("letters").alias("i", "l")).select("id", "i", "l.x", "l.reach")
-    twice = letters.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
-    letters = letters.join(twice, "x")
+    twice = stored(letters.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"))  # written, so that the join can split a hot letter
+    size = F.col("x").bitwiseAND(127) + 1
     w = Window.partitionBy("id").orderBy("i")
-    letters = letters.withColumn("run", F.col("i") - F.row_number().over(w))
+    letters = letters.join(twice, "x").withColumn("run", F.col("i") - F.row_number().over(w))
+    # a run that covers fewer bytes than any match has behind its first anchor holds none
+    least = length - 2 * window(length) - GRAM + 2
+    letters = letters.withColumn("covered", F.sum(size).over(Window.partitionBy("id", "run"))).where(F.col("covered") >= least)
     of_run = Window.partitionBy("id", "run").orderBy("i")
-    size = F.col("x").bitwiseAND(127) + 1
     # 25 bits of the hash and the length: letters that agree by chance make a candidate more, never one less
     ahead = F.collect_list(F.col("x").bitwiseAND((1 << 32) - 1) - (1 << 31)).over(of_run.rowsBetween(0, AHEAD - 1)).cast("array<int>")
     letters = stored(letters.select("id", "i", "x", "reach", size.alias("size"), F.xxhash64("id", "run").bitwiseAND((1 << 62) - 1).alias("s"), (F.row_number().over(of_run) - 1).cast("long").alias("j"), ahead.alias("ahead")))
-    order = suffix_order(letters.select("s", "j", "x", "size"))
+    discard(twice)
+    order = suffix_order(letters.select("s", "j", "x", "size"), length)
     placed = letters.select("s", "j", "id", "i", "reach", "ahead").join(order, ["s", "j"]).select("id", "i", "reach", "ahead", "place", F.lit(True).alias("every"))
     placed = running(placed, ["place", "id", "i"], "every")
     discard(letters, order)
@@ -188,7 +202,7 @@ def candidates(distinct: DataFrame) -> DataFrame:
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(True).alias("on")),
         lambda acc, v: F.struct((acc.n + F.when(acc.on & v.isNotNull(), v).otherwise(0)).alias("n"), (acc.k + F.when(acc.on & v.isNotNull(), 1).otherwise(0)).alias("k"), (acc.on & v.isNotNull()).alias("on")),
     )
-    need = LENGTH - WINDOW - GRAM + 1 - F.col("reach")
+    need = length - window(length) - GRAM + 1 - F.col("reach")
     near = dealt.select("id", "i", "reach", "deal", "at", agree(F.lag("ahead").over(w)).alias("p"), agree(F.lead("ahead").over(w)).alias("q")).where(F.floor(F.col("at") / step) == F.col("deal"))
     enough = lambda c: F.coalesce((F.col(f"{c}.n") >= need) | (F.col(f"{c}.k") == AHEAD), F.lit(False))
     out = stored(near.where((F.col("reach") >= 0) & (enough("p") | enough("q"))).select("id", "i"))
@@ -196,47 +210,53 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return out
 
 
-def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per candidate letter: its windows lo to hi, the hash of all they cover, and by STEP the core and whole hashes."""
-    for batch in batches:
-        for k, data in _rows(batch, 1):
-            t = Text(data)
-            i = batch.column(2)[k].values.to_numpy()
-            at, lo, hi = t.at[i], t.lo[i], t.hi[i]
-            a, b = t.hashes(lo, hi + LENGTH, (at - lo) << 16 | (hi - lo))
-            near, far = at - hi, at - lo  # distances of the last and first window
-            first, last = near // STEP, far // STEP
-            many = last - first + 1
-            who = np.repeat(np.arange(len(i)), many)
-            q = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[who]
-            low, high = np.maximum(q * STEP, near[who]), np.minimum(q * STEP + STEP - 1, far[who])
-            core, _ = t.hashes(at[who] - q * STEP, at[who] - q * STEP - STEP + 1 + LENGTH, q)
-            wa, wb = t.hashes(at[who] - high, at[who] - low + LENGTH, low << 16 | high)
-            parts = pa.StructArray.from_arrays([pa.array(x) for x in (at[who] - high, at[who] - low, core, wa, wb)], names=["lo", "hi", "core", "a", "b"])
-            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), parts)
-            ids = pa.array(np.full(len(i), batch.column(0)[k].as_py()), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in (lo, hi, a, b)), parts], names=["id", "lo", "hi", "a", "b", "parts"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k, data in _rows(batch, 1):
-            t = Text(data)
-            ranges = batch.column(2)[k].values
-            lo, hi = (ranges.field(f).to_numpy() for f in ("lo", "hi"))
-            many = hi - lo + 1
-            p = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            a, b = t.hashes(p, p + LENGTH, np.zeros(len(p), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), batch.column(0)[k].as_py()), pa.int64()), pa.array(p), pa.array(a), pa.array(b)], names=["id", "p", "a", "b"])
-
-
-def repeated(plain: DataFrame, found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _checks(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per candidate letter: its windows lo to hi, the hash of all they cover, and by STEP the core and whole hashes."""
+        for batch in batches:
+            for k, data in _rows(batch, 1):
+                t = Text(data, length)
+                i = batch.column(2)[k].values.to_numpy()
+                at, lo, hi = t.at[i], t.lo[i], t.hi[i]
+                a, b = t.hashes(lo, hi + length, (at - lo) << 16 | (hi - lo))
+                near, far = at - hi, at - lo  # distances of the last and first window
+                first, last = near // STEP, far // STEP
+                many = last - first + 1
+                who = np.repeat(np.arange(len(i)), many)
+                q = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[who]
+                low, high = np.maximum(q * STEP, near[who]), np.minimum(q * STEP + STEP - 1, far[who])
+                core, _ = t.hashes(at[who] - q * STEP, at[who] - q * STEP - STEP + 1 + length, q)
+                wa, wb = t.hashes(at[who] - high, at[who] - low + length, low << 16 | high)
+                parts = pa.StructArray.from_arrays([pa.array(x) for x in (at[who] - high, at[who] - low, core, wa, wb)], names=["lo", "hi", "core", "a", "b"])
+                parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), parts)
+                ids = pa.array(np.full(len(i), batch.column(0)[k].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in (lo, hi, a, b)), parts], names=["id", "lo", "hi", "a", "b", "parts"])
+
+    return run
+
+
+def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in _rows(batch, 1):
+                t = Text(data, length)
+                ranges = batch.column(2)[k].values
+                lo, hi = (ranges.field(f).to_numpy() for f in ("lo", "hi"))
+                many = hi - lo + 1
+                p = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+                a, b = t.hashes(p, p + length, np.zeros(len(p), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), batch.column(0)[k].as_py()), pa.int64()), pa.array(p), pa.array(a), pa.array(b)], names=["id", "p", "a", "b"])
+
+    return run
+
+
+def repeated(plain: DataFrame, found: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
     """id, lo and hi: starts of windows, among those of the found letters, that occur elsewhere too; and the stored tables it reads."""
     listed = found.groupBy("id").agg(F.array_sort(F.collect_set("i")).alias("i"))
     listed = stored(listed)
     bodies = stored(only(plain.withColumnRenamed("doc_id", "id"), listed.select("id"), "id").groupBy("id").agg(F.first("text").alias("text")))
     checks = stored(
-        bodies.join(listed, "id").select("id", "text", "i").mapInArrow(lean(_checks), "id long, lo long, hi long, a long, b long, parts array<struct<lo: long, hi: long, core: long, a: long, b: long>>")
+        bodies.join(listed, "id").select("id", "text", "i").mapInArrow(lean(_checks(length)), "id long, lo long, hi long, a long, b long, parts array<struct<lo: long, hi: long, core: long, a: long, b: long>>")
     )
     groups = checks.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("m"), F.min_by("parts", F.struct("id", "lo")).alias("parts"))
     groups = stored(groups)
@@ -247,26 +267,26 @@ def repeated(plain: DataFrame, found: DataFrame) -> tuple[DataFrame, list[DataFr
     by_step = parts.where("same > 1").select(F.explode("open").alias("o")).select("o.*")
     several = parts.groupBy("core").agg(F.count("*").alias("k"), F.max(((F.col("same") == 1) & (F.col("n") == 1)).cast("int")).alias("left")).where("k > 1 and left = 1").select("core")
     ranges = parts.join(several, "core").groupBy(F.col("m.id").alias("id")).agg(F.collect_list(F.struct("m.lo", "m.hi")).alias("ranges"))
-    single = stored(bodies.join(ranges, "id").select("id", "text", "ranges").mapInArrow(lean(_windows), "id long, p long, a long, b long"))
+    single = stored(bodies.join(ranges, "id").select("id", "text", "ranges").mapInArrow(lean(_windows(length)), "id long, p long, a long, b long"))
     again = single.groupBy("a", "b").agg(F.countDistinct("id", "p").alias("n")).where("n > 1").select("a", "b")
     by_one = single.join(again, ["a", "b"]).select("id", F.col("p").alias("lo"), F.col("p").alias("hi"))
     return whole.unionByName(by_step).unionByName(by_one), [listed, bodies, checks, groups, parts, single]
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and spans: byte ranges (lo, hi) to remove, for documents that have any."""
     plain = texts(docs)
-    full = stored(strings(plain))
+    full = stored(strings(plain, length))
     wide = stored(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("letters", "doc_id").alias("letters")))
     signed, distinct = stored(full.drop("letters")), stored(wide.drop("letters"))
     discard(full)
-    found = candidates(wide)
+    found = candidates(wide, length)
     discard(wide)
-    ranges, spent = repeated(plain, found)
-    ranges = ranges.groupBy("id").agg(F.collect_set(F.struct("lo", (F.col("hi") + LENGTH).alias("hi"))).alias("spans"))
+    ranges, spent = repeated(plain, found, length)
+    ranges = ranges.groupBy("id").agg(F.collect_set(F.struct("lo", (F.col("hi") + length).alias("hi"))).alias("spans"))
     alone = distinct.where("copies = 1").select("id")
     ranges = ranges.join(alone, "id").select(F.col("id").alias("doc_id"), "spans")
-    copies = distinct.where(f"copies > 1 and n >= {LENGTH}").select("a", "b", "n")
+    copies = distinct.where(f"copies > 1 and n >= {length}").select("a", "b", "n")
     copies = signed.select("doc_id", "a", "b", "n").join(copies, ["a", "b", "n"]).select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))).alias("spans")).dropDuplicates(["doc_id"])
     out = stored(merged_spans(ranges.unionByName(copies)))
     discard(signed, distinct, found, *spent)
@@ -288,7 +308,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
     return b"".join([*left, data[at:]]), [(lo, hi) for lo, hi in runs]
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,5 +322,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = with_spans(texts(docs), removed_spans(docs)).select("doc_id", "text", "spans")
+    joined = with_spans(texts(docs), removed_spans(docs, length)).select("doc_id", "text", "spans")
     return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
