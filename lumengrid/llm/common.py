@@ -50,12 +50,15 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what stored() wrote for these frames; all that reads them must have been written by then."""
     for df in frames:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.stored_path)
 
 
 def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:

@@ -3,18 +3,18 @@
 1. A text's set is its distinct shingles of SHINGLE words (A-Z lower-cased). One permutation deals the shingles
    into BANDS x ROWS bins; a bin's value is its least shingle, an empty bin takes that of the first full bin in
    its own random order. Bands of bins are buckets. Equal sets are folded into their smallest doc_id first.
-2. In each bucket every set is paired with one centre, so that pairs grow with the rows and not with their square.
-   Pairs whose sizes allow the similarity are confirmed on the full sets, and links make components.
-3. Buckets that still hold several components get CENTRES other centres, each paired with the sets outside its own
-   component, round after round, until a round finds few links (one in FEW of all) or none.
+2. Each bucket has a centre. A set is paired with one centre, that of most of its buckets, so that a round makes no more
+   pairs than there are sets. Pairs whose sizes allow the similarity are confirmed on the full sets, and links make components.
+3. Buckets that still hold several components get CENTRES other centres; each set of another component is paired with the one
+   it shares most buckets with and has not met, round after round, until a round finds few links (one in FEW of all) or none.
 4. All sets of buckets that are divided even then go through an exact join: shingles are ordered from rare to common, and
    the pairs of different components that share one in their prefixes, where sizes and places allow the similarity, are
-   confirmed. Its links are added, whatever their number.
+   confirmed. Its links are added, whatever their number. So the rounds decide what is quick, not what is found.
 
 With 36 bands of 4 rows a pair at the least similarity shares no bucket with probability 1e-6, the only way to be lost.
 
 Null and empty texts have empty sets, linked with nothing. Texts of fewer words are one shingle as a whole. Rows that
-share a doc_id are linked by it. Ties of rank go to the smaller doc_id. Other columns are left out.
+share a doc_id are linked by it (with two different texts, the least one is compared for pairs). Ties of rank go to the smaller doc_id. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ SHINGLE, BANDS, ROWS, PERCENT = 5, 36, 4, 75
 #: Centres of a bucket that is still divided, in each further round.
 CENTRES = 8
 #: Rounds end once they find less than one in so many of the links so far; slots in which shingles are counted for their order.
-FEW, SLOTS = 100, 1 << 18
+FEW, SLOTS = 20, 1 << 18
 BINS = BANDS * ROWS
 _ORDER = np.stack([np.random.default_rng(k).permutation(BINS) for k in range(BINS)])
 
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1").select("bucket")
     dealt = stored(dealt.join(shared, "bucket"))
     wanted = stored(dealt.select("id").distinct())
-    bodies = stored(only(plain.withColumnRenamed("doc_id", "id"), wanted, "id").groupBy("id").agg(F.first("text").alias("text")))
+    bodies = stored(only(plain.withColumnRenamed("doc_id", "id"), wanted, "id").groupBy("id").agg(F.min("text").alias("text")))
     links, label, turn, many = None, None, 0, 0
 
     def placed() -> DataFrame:
@@ -199,14 +199,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             return dealt.withColumn("c", F.col("id"))
         return dealt.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
 
+    tested: DataFrame | None = None
     while True:
         rows = placed()
         seeds = range(1) if label is None else range(CENTRES * turn, CENTRES * (turn + 1))
         rank = lambda k: F.struct(F.xxhash64("id", F.lit(k)).alias("r"), "id", "n", "c")
         centre = rows.groupBy("bucket").agg(F.array(*(F.min(rank(k)) for k in seeds)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        centre = stored(centre.select("bucket", "m"))  # written, so that the join can split a hot bucket
         other = lambda m: (m.c != F.col("c")) & (100 * F.least(F.col("n"), m.n) >= percent * F.greatest(F.col("n"), m.n))
-        pairs = rows.join(centre.select("bucket", "m"), "bucket").select(F.col("id").alias("u"), F.explode(F.array_distinct(F.transform(F.filter("m", other), lambda m: m.id))).alias("v")).distinct()
+        met = rows.join(centre, "bucket").select(F.col("id").alias("u"), F.explode(F.array_distinct(F.transform(F.filter("m", other), lambda m: m.id))).alias("v"))
+        met = met.groupBy("u", "v").agg(F.count("*").alias("shared"))
+        if tested is not None:
+            met = met.join(tested, ["u", "v"], "left_anti")
+        pairs = stored(met.groupBy("u").agg(F.max(F.struct("shared", F.xxhash64("v").alias("r"), "v")).alias("best")).select("u", F.col("best.v").alias("v")))
         found = stored(confirm(pairs, bodies, percent))
+        tested = pairs if tested is None else tested.unionByName(pairs)
         new = found.count()
         if new:
             links = found if links is None else links.unionByName(found)

@@ -63,6 +63,14 @@ def test_minhash_template_family(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_minhash_shared_template(spark):
+    """300 documents share 404 words; two of them add 60 words each (similarity 400 / 520), the others 76 (at most 400 / 536)."""
+    template = " ".join(f"t{k}" for k in range(404))
+    rows = [(i, " ".join([template, *(f"u{i}x{k}" for k in range(60 if i in (100, 200) else 76))])) for i in range(300)]
+    got = minhash.near_duplicates(prepare(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 100 if i == 200 else i for i, _ in rows}
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (102, 102), (103, 101)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "u long, v long")).collect()}
@@ -142,14 +150,27 @@ def test_fingerprints_by_batches(docs):
     given = own_texts()
     parts = [{i: t for i, t in given.items() if i // 3 % 3 == k} for k in range(3)]
     _, seen = cut_words(parts[0])
-    _, index = fingerprints.removed_spans(docs.where("doc_id div 3 % 3 = 0"))
+    _, first = fingerprints.removed_spans(docs.where("doc_id div 3 % 3 = 0"))
+    index = [first]
     for k in (1, 2):
         batch, history = docs.where(f"doc_id div 3 % 3 = {k}"), docs.where(f"doc_id div 3 % 3 < {k}")
         wanted, seen = cut_words(parts[k], seen)
         got = fx.rows(fingerprints.deduplicate(batch, index, history))
         assert {i: (r.n_words, r.n_removed, r.kept) for i, r in got.items()} == wanted
         _, run = fingerprints.removed_spans(batch, index, history)
-        index = fingerprints.compact(index, run)
+        index = fingerprints.compact([*index, run])
+        assert len(index) == 1
+
+
+def test_fingerprints_of_patterns(spark):
+    """Two windows that differ in a word alone, whose letters follow a pattern that sums modulo 2**64 can't tell from its complement."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: 98, 98: 97})
+    words = [f"w{k}" for k in range(19)]
+    rows = [(1, " ".join([a, *words])), (2, " ".join([a.translate({97: 98, 98: 97}), *words]))]
+    got = fingerprints.deduplicate(prepare(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
 
 
 def test_pipeline(spark, tmp_path):
