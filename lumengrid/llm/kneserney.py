@@ -27,8 +27,10 @@ from pyspark.sql.window import Window
 from lumengrid.llm import textkernel as tk
 from lumengrid.llm.common import lean, stored, texts, with_trusted
 
-#: Bytes of an n-gram; steps of a bit, in which costs are whole numbers; groups of the final join: shards x salts.
-ORDER, UNIT, SHARDS, SALTS = 4, 1 << 16, 8, 16
+#: Bytes of an n-gram; steps of a bit, in which costs are whole numbers.
+ORDER, UNIT = 4, 1 << 16
+#: Groups of the final join, shards x salts: the least of each, the most shards, and bytes of text that a group stands for at most.
+SHARDS, SALTS, MOST_SHARDS, GROUP_BYTES = 8, 16, 256, 1 << 28
 #: A language's threshold: this quantile of trusted texts, and so many times its distance from the median above it, for small
 #: samples; chosen with held-out labels of both kinds in view.
 HIGH, SLACK, STEP = 0.95, 1.0, 1000
@@ -62,11 +64,12 @@ def grams(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """gram, and how often trusted texts hold it (0 if only others do)."""
+    """gram, and how often trusted texts hold it (0 if only others do); and for gram -1 the n-grams of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        symbols = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             code = np.concatenate([total[0], *(w[0] for w in waiting)])
@@ -78,12 +81,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
             good = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for c in tk.chunks(batch.column(1)):
                 code, row = grams(c)
+                symbols += len(code)
                 for own, unit in ((code[good[c.lo : c.hi][row]], 1), (code, 0)):
                     found, count = np.unique(own, return_counts=True)
                     waiting.append((found, count * unit))
                 if len(waiting) >= 16:
                     total, waiting = merged(), []
         total = merged()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([symbols], pa.int64())], names=["gram", "count"])
         for lo in range(0, len(total[0]), 200_000):
             part = slice(lo, lo + 200_000)
             yield pa.RecordBatch.from_arrays([pa.array(total[0][part].astype(np.int64)), pa.array(total[1][part])], names=["gram", "count"])
@@ -106,6 +111,7 @@ def _pick(d: list[float], n: Column) -> Column:
 
 def costs(counted: DataFrame) -> DataFrame:
     """gram and its cost, the negative log2 of the last byte's probability after the others, in UNITths of a bit."""
+    counted = counted.where("gram >= 0")
     top = counted.where("count > 0")
     wanted = counted.select("gram")
     p: Column = F.lit(1.0 / ALPHABET)
@@ -115,16 +121,15 @@ def costs(counted: DataFrame) -> DataFrame:
     for k, level in zip(range(1, ORDER + 1), reversed(levels), strict=True):
         d = _discounts(level)
         key = (F.col("gram") % (1 << 8 * k)).alias(f"g{k}")
-        context = level.groupBy(F.floor(F.col("gram") / 256).alias(f"h{k}")).agg(
-            F.sum("count").alias("total"), *(F.sum((F.col("count") == j).cast("long")).alias(f"n{j}") for j in (1, 2)), F.sum((F.col("count") >= 3).cast("long")).alias("n3")
-        )
+        sums = (F.sum("count").alias("total"), *(F.sum((F.col("count") == j).cast("long")).alias(f"n{j}") for j in (1, 2)), F.sum((F.col("count") >= 3).cast("long")).alias("n3"))
+        context = level.groupBy(F.floor(F.col("gram") / 256).alias(f"h{k}")).agg(*sums) if k > 1 else level.agg(*sums)  # one byte has the one empty context
         back = (F.col("n1") * d[1] + F.col("n2") * d[2] + F.col("n3") * d[3]) / F.col("total")
-        wanted = (
-            wanted.withColumn(f"g{k}", key)
-            .withColumn(f"h{k}", F.floor(F.col(f"g{k}") / 256))
-            .join(level.select(F.col("gram").alias(f"g{k}"), F.col("count").alias("own")), f"g{k}", "left")
-            .join(context.select(f"h{k}", "total", back.alias("back")), f"h{k}", "left")
-        )
+        wanted = wanted.withColumn(f"g{k}", key).withColumn(f"h{k}", F.floor(F.col(f"g{k}") / 256))
+        wanted = wanted.join(level.select(F.col("gram").alias(f"g{k}"), F.col("count").alias("own")), f"g{k}", "left")
+        if k > 1:
+            wanted = wanted.join(context.select(f"h{k}", "total", back.alias("back")), f"h{k}", "left")
+        else:
+            wanted = wanted.crossJoin(F.broadcast(context.select("total", back.alias("back"))))  # a single row
         own = F.coalesce("own", F.lit(0))
         lower = F.col("p") if k > 1 else p
         p = F.when(F.col("total").isNull(), lower).otherwise(F.greatest(own - _pick(d, own), F.lit(0.0)) / F.col("total") + F.col("back") * lower)
@@ -132,11 +137,17 @@ def costs(counted: DataFrame) -> DataFrame:
     return wanted.select("gram", F.round(-F.log2("p") * UNIT).cast("long").alias("cost"))
 
 
-def _shard(code: np.ndarray) -> np.ndarray:
-    return (tk.mix(code.astype(np.uint64) + np.uint64(1)) % np.uint64(SHARDS)).astype(np.int64)
+def groups(symbols: int) -> tuple[int, int]:
+    """Shards and salts for so many n-grams; shards grow first, since each salt gets a copy of the costs."""
+    shards = min(MOST_SHARDS, max(SHARDS, -(-symbols // (SALTS * GROUP_BYTES))))
+    return shards, max(SALTS, -(-symbols // (shards * GROUP_BYTES)))
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def _shard(code: np.ndarray, shards: int) -> np.ndarray:
+    return (tk.mix(code.astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+
+
+def postings(docs: DataFrame, shards: int, salts: int) -> DataFrame:
     """Rows of a chunk and shard: the doc_ids, the distinct n-grams, how many documents hold each, which, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +172,10 @@ def postings(docs: DataFrame) -> DataFrame:
                 gram = np.repeat(gram, more + 1)
                 steps, counts = np.full(len(gram), 255, dtype=np.uint8), np.zeros(len(gram), dtype=np.uint8)
                 steps[at], counts[at] = step - 255 * more, part
-                shard = _shard(gram)
-                salt = int(tk.mix(np.array([len(c.data) * 1_000_003 + int(code[0])], dtype=np.uint64))[0] % np.uint64(SALTS))
+                shard = _shard(gram, shards)
+                salt = int(tk.mix(np.array([len(c.data) * 1_000_003 + int(code[0])], dtype=np.uint64))[0] % np.uint64(salts))
                 rows = []
-                for s in range(SHARDS):
+                for s in range(shards):
                     own = shard == s
                     distinct, lengths = np.unique(gram[own], return_counts=True)
                     rows.append((s, salt, ids[c.lo : c.hi], pack(distinct), pack(lengths.astype(np.uint32)), pack(steps[own]), pack(counts[own])))
@@ -174,14 +185,14 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "shard int, salt int, ids array<long>, grams binary, lengths binary, docs binary, counts binary")
 
 
-def score(docs: DataFrame, priced: DataFrame) -> DataFrame:
+def score(docs: DataFrame, priced: DataFrame, shards: int = SHARDS, salts: int = SALTS) -> DataFrame:
     """doc_id, cost (in UNITths of a bit) and symbols (bytes and end marks)."""
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gram = batch.column(0).to_numpy()
-            shard = _shard(gram.astype(np.uint32))
-            for salt in range(SALTS):
+            shard = _shard(gram.astype(np.uint32), shards)
+            for salt in range(salts):
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.full(len(gram), salt, np.int32)), batch.column(0), batch.column(1)], names=["shard", "salt", "gram", "cost"])
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -207,7 +218,7 @@ def score(docs: DataFrame, priced: DataFrame) -> DataFrame:
         return pa.table({"doc_id": pa.concat_arrays(out_id), "cost": flat(out_cost), "symbols": flat(out_n)})
 
     right = priced.mapInArrow(lean(table), "shard int, salt int, gram long, cost long")
-    left = postings(docs)
+    left = postings(docs, shards, salts)
     schema = "doc_id long, cost long, symbols long"
     return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(meet, schema).groupBy("doc_id").agg(F.sum("cost").alias("cost"), F.sum("symbols").alias("symbols"))
 
@@ -236,15 +247,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     plain = texts(docs)
     flagged = with_trusted(plain, labels).withColumn("trusted", F.col("trusted") & ~_held())
     counted = stored(count_grams(flagged))
+    symbols = counted.where("gram = -1").agg(F.sum("count")).first()[0] or 0
     priced = costs(counted)
     about = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     level = F.round(F.col("cost") / F.col("symbols") / UNIT * STEP).cast("long")
-    scored = score(plain, priced).join(about.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
+    scored = score(plain, priced, *groups(symbols)).join(about.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
     scored = stored(with_trusted(scored.withColumn("level", level), labels))
-    limits = {lang: (mid, most) for lang, mid, most in thresholds(scored).collect()}  # a row for each language
-    mid, most = (F.lit(x).cast("long") for x in limits.pop(None, (None, None)))
-    for lang, own in sorted(limits.items()):
-        mid, most = (F.when(F.col("lang") == lang, F.lit(x).cast("long")).otherwise(rest) for x, rest in zip(own, (mid, most), strict=True))
+    limits = stored(thresholds(scored))
+    overall = limits.where("lang is null").agg(F.first("mid").alias("mid0"), F.first("most").alias("most0"))  # a single row
+    scored = scored.join(limits.where("lang is not null"), "lang", "left").crossJoin(F.broadcast(overall))
+    mid, most = F.coalesce("mid", "mid0"), F.coalesce("most", "most0")
     kept = F.col("level") * F.col("symbols") + PRIOR * mid <= most * (F.col("symbols") + PRIOR)
     return scored.select(
         "doc_id", "lang", (F.col("level") / STEP).alias("bits"), F.pow(F.lit(2.0), F.col("level") / STEP).alias("perplexity"), (most / STEP).alias("threshold"), F.coalesce(kept, F.lit(True)).alias("kept")

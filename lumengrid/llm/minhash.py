@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.llm import textkernel as tk
-from lumengrid.llm.common import lean, only, stored, texts
+from lumengrid.llm.common import discard, lean, only, stored, texts
 from lumengrid.llm.graph import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 36, 4, 75
@@ -165,21 +165,32 @@ def prefixes(bodies: DataFrame, percent: int) -> DataFrame:
     return bodies.select("id", "text").mapInArrow(lean(run), "id long, n long, shingle long, left long, short boolean")
 
 
-def exact_pairs(bodies: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (u, v) of ids of (id, text) in different components that prefixes, sizes and places allow to be similar."""
+def exact_pairs(bodies: DataFrame, label: DataFrame | None, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (u, v) of ids of (id, text) in different components that prefixes, sizes and places allow to be similar; and the stored tables behind them."""
     rows = prefixes(bodies, percent)
     if label is None:
         rows = rows.withColumn("c", F.col("id"))
     else:
         rows = rows.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    rows = stored(rows)
+    every = stored(rows)
+    rows = every
     useful = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("short").alias("any")).where("any and low < high").select("shingle")
     rows = stored(rows.join(useful, "shingle"))
     side = lambda x: rows.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("id", "n", "left", "short", "c")))
     a, b = side("u").where("short_u"), side("v")
     fits = (F.col("c_u") != F.col("c_v")) & ((F.col("n_u") < F.col("n_v")) | (F.col("n_u") == F.col("n_v")) & (F.col("id_u") < F.col("id_v")))
     fits &= (100 * F.col("n_u") >= percent * F.col("n_v")) & ((100 + percent) * F.least("left_u", "left_v") >= percent * (F.col("n_u") + F.col("n_v")))
-    return a.join(b, (a.shingle == b.shingle) & fits).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+    return a.join(b, (a.shingle == b.shingle) & fits).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct(), [every, rows]
+
+
+def labelled(links: DataFrame, old: DataFrame | None) -> DataFrame:
+    """id and component by all links so far, in place of the labels by earlier ones."""
+    found = components(links)
+    out = found.withColumnRenamed("node", "id")
+    out.stored_path = found.stored_path
+    if old is not None:
+        discard(old)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -200,6 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return dealt.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
 
     tested: DataFrame | None = None
+    spent = [dealt, wanted, bodies]
     while True:
         rows = placed()
         seeds = range(1) if label is None else range(CENTRES * turn, CENTRES * (turn + 1))
@@ -213,22 +225,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             met = met.join(tested, ["u", "v"], "left_anti")
         pairs = stored(met.groupBy("u").agg(F.max(F.struct("shared", F.xxhash64("v").alias("r"), "v")).alias("best")).select("u", F.col("best.v").alias("v")))
         found = stored(confirm(pairs, bodies, percent))
+        discard(centre)
+        spent += [pairs, found]
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = found.count()
         if new:
             links = found if links is None else links.unionByName(found)
-            label = stored(components(links).withColumnRenamed("node", "id"))
+            label = labelled(links, label)
             many += new
             turn += 1
         if FEW * new < many or not new:
             break
     divided = placed().groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    open_ids = stored(dealt.join(divided, "bucket").select("id").distinct())
+    spent.append(open_ids := stored(dealt.join(divided, "bucket").select("id").distinct()))
     if not open_ids.isEmpty():
-        found = stored(confirm(exact_pairs(only(bodies, open_ids, "id"), label, percent), bodies, percent))
+        closer, rows = exact_pairs(only(bodies, open_ids, "id"), label, percent)
+        found = stored(confirm(closer, bodies, percent))
+        spent += [found, *rows]
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            label = stored(components(links).withColumnRenamed("node", "id"))
+            label = labelled(links, label)
+    discard(*spent)
     own = signed.select("doc_id", "n", "a", "b").join(distinct.select("a", "b", "n", "id"), ["a", "b", "n"], "left")
     if label is not None:
         own = own.join(label, "id", "left")

@@ -8,11 +8,18 @@ A null text counts as empty and has no spans. Each row stands alone; other colum
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
+from itertools import zip_longest
+from pathlib import Path
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -32,14 +39,39 @@ _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(r"""(?:passphrase|password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth[_-]?key)["']?[\x20\t]{0,4}[:=][\x20\t]{0,4}["']?([^\s"'<>,;]{8,})""", re.ASCII | re.IGNORECASE)
 LEAST_GUESSES = 9.0
 
-WORDS = (
+#: Frequent passwords and words in them, most frequent first; those of a ranked vocabulary follow.
+FIRST = (
     "password", "passwd", "pass", "secret", "token", "admin", "administrator", "root", "user", "login", "welcome", "letmein", "master", "monkey", "dragon",
-    "shadow", "sunshine", "princess", "football", "baseball", "superman", "batman", "hello", "freedom", "whatever", "trustno", "starwars", "summer", "winter",
-    "spring", "autumn", "monday", "friday", "january", "october", "love", "iloveyou", "test", "guest", "default", "changeme", "example", "sample", "dummy",
-    "qwerty", "abc", "temp", "demo", "public", "private", "server", "system", "database", "service", "access", "key", "api", "prod", "dev", "stage",
+    "shadow", "sunshine", "princess", "football", "baseball", "superman", "batman", "hello", "freedom", "whatever", "trustno", "starwars", "iloveyou", "test",
+    "guest", "default", "changeme", "example", "sample", "dummy", "qwerty", "temp", "demo",
 )
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_LONGEST = 24
+
+
+@cache
+def ranks(words: str, pieces: str) -> dict[str, int]:
+    """Words and their ranks: FIRST, then by turns the whole words of two vocabularies, frequent ones first.
+
+    words: a file of the tokenizers library, in which a suffix tells where a word ends; pieces: one of the tiktoken library, in which a
+    space tells where a word begins. Both are in order of merging, which follows frequency; the second one is in many languages.
+    """
+    vocabulary = json.loads(Path(words).read_text())["model"]
+    end = vocabulary.get("end_of_word_suffix") or ""
+    one = [x.removesuffix(end) for x, _ in sorted(vocabulary["vocab"].items(), key=lambda x: x[1]) if x.endswith(end)]
+    two = [base64.b64decode(x.split()[0]) for x in Path(pieces).read_bytes().splitlines() if x]
+    two = [x[1:].decode(errors="replace") for x in two if x[:1] == b" "]
+    found = dict.fromkeys(FIRST)
+    for pair in zip_longest(one, two):
+        for x in pair:
+            if x and 3 <= len(x) <= _LONGEST and x.isalpha():
+                found.setdefault(x.lower())
+    return {x: k + 1 for k, x in enumerate(found)}
+
+
+def known() -> dict[str, int]:
+    return ranks(public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 _LEET = str.maketrans("@4301!$57", "aaeoiisst")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
@@ -52,13 +84,14 @@ def _brute(c: str) -> float:
 
 def segments(value: str) -> Iterator[tuple[int, int, str, float]]:
     """Candidate spans (start, end, kind, log10 of guesses); their number grows with the value's length alone."""
+    rank_of = known()
     low = value.lower()
     plain = low.translate(_LEET) if len(low) == len(value) else value
     n = len(value)
     for i in range(n):
         yield i, i + 1, "brute", _brute(value[i])
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(plain[i:j])
+            rank = rank_of.get(plain[i:j])
             if rank:
                 extra = (value[i:j] != low[i:j]) + (plain[i:j] != low[i:j])
                 yield i, j, "word", math.log10(rank + 1) + 0.5 * extra
@@ -111,18 +144,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def all_spans(text: str) -> list[tuple[int, int, str]]:
-    """base_spans() and, outside them, credential values that cost LEAST_GUESSES or more."""
+    """base_spans() and, where they don't cover them wholly, credential values that cost LEAST_GUESSES or more."""
     base = base_spans(text)
     if "=" not in text and ":" not in text:
         return base
-    more, known = [], {}
+    starts, ends = [], []  # of covered stretches
+    for s, e, _ in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    more, judged = [], {}
     for m in CONTEXT.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in base[:64]) or len(base) > 64 and any(s < m.end() and m.start() < e for s, e, _ in base[64:]):
+        k = bisect_right(starts, m.start(1)) - 1
+        if k >= 0 and m.end(1) <= ends[k]:
             continue
         value = m[1]
-        if value not in known:
-            known[value] = cheapest(value)[0]
-        if known[value] >= LEAST_GUESSES:
+        if value not in judged:
+            judged[value] = cheapest(value)[0]
+        if judged[value] >= LEAST_GUESSES:
             more.append((m.start(1), m.end(1), "guess"))
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 

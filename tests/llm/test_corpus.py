@@ -78,18 +78,18 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def cut_bytes(given):
+def cut_bytes(given, length=400):
     seen = {}
     data = {i: t.encode() for i, t in given.items()}
     for b in data.values():
-        for k in range(len(b) - 399):
-            seen[b[k : k + 400]] = seen.get(b[k : k + 400], 0) + 1
+        for k in range(len(b) - length + 1):
+            seen[b[k : k + length]] = seen.get(b[k : k + length], 0) + 1
     out = {}
     for i, b in data.items():
         gone = [False] * len(b)
-        for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
-                gone[k : k + 400] = [True] * 400
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + 400] = [True] * length
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out[i] = len(b), sum(gone), runs, left
@@ -183,7 +183,7 @@ def test_pipeline(spark, tmp_path):
     given = {i: t for i, t in own_texts().items() if i in good}
     _, comp = near_components(given)
     given = {i: t for i, t in given.items() if comp[i] == i}
-    left = {i: x[3].decode(errors="ignore") for i, x in cut_bytes(given).items()}
+    left = {i: x[3].decode(errors="ignore") for i, x in cut_bytes(given, corpus_pipeline.PASSAGE).items()}
     given = {i: left[i] for i, t in given.items() if left[i] == t or left[i].strip()}
     given = {i: secrets.redact(t) for i, t in given.items()}
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):

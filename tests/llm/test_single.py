@@ -99,6 +99,25 @@ def test_secrets(spark):
     assert secrets.scan(fx.empty(df)).count() == 0
 
 
+def test_secrets_beside_base_spans():
+    t = "password=correcthorse12!Zq9# end"
+    assert secrets.all_spans(t) == [(0, 23, "assign"), (9, 28, "guess")] and secrets.redact(t) == "[REDACTED] end"
+    many = "\n".join(f"password=Abcdefghij{k:06}" for k in range(16_000))
+    assert len(secrets.all_spans(many)) == 16_000
+
+
+def test_secrets_by_guesses():
+    """Planted values: random ones are found, words, walks, repeats and dates are not."""
+    import random
+
+    rng = random.Random(8)
+    marks = "abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789#!%&*"
+    hard = ["".join(rng.choice(marks) for _ in range(rng.randint(8, 11))) for _ in range(300)]
+    easy = ["everything", "information", "password1", "qwertyuiop", "aaaaaaaaaa", "19991231", "iloveyou2020", "welcome1", "government", "123456789", "abcabcabc", "different", "sunshine12"]
+    flagged = lambda v: any(k != "hex" for _, _, k in secrets.all_spans(f"the pwd: {v} is it"))
+    assert sum(map(flagged, hard)) >= 290 and not any(map(flagged, easy))
+
+
 @pytest.mark.parametrize("value", ["password", "a", "qwertyuiop", "aaaaaaa", "19991231", "xK9#", "passwordqwerty1999"])
 def test_cheapest_is_least(value):
     """Against every way to cut the value."""
@@ -211,6 +230,24 @@ def test_packing(docs):
     assert packing.pack(fx.empty(docs), path).count() == 0
 
 
+def test_packing_cuts_as_the_library(docs):
+    """Texts of marks, capitals, other scripts and special tokens, told apart by vectorised passes."""
+    import random
+
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, own, rng = Tokenizer.from_file(path), packing.Tokens(path), random.Random(4)
+    bits = ["a", "B", "é", "É", "ß", "×", "'", "'s", "'S", "<", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", ".", ",", "!!", "\n", "\t", " ", "  ", "7", "$", "\u0301", "\u00a0", "\x1c", "日本", "😀", "Σ", "İ", "ſ", "ﬁ", "Ж", "e\u0301"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    assert own.short
+    for short in (True, False):
+        own.short = short
+        got = [ids[a:b].tolist() for c in packing.tk.chunks(pa.array(texts)) for ids, at in [own.encode(c)] for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == [other.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+        own.kept.clear()
+
+
 def test_hilbert_steps_are_unit_steps():
     n = 16
     points = np.stack(np.meshgrid(*[np.arange(n)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
