@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengrid.llm import kneserney, minhash, packing, secrets, suffixarray
-from lumengrid.llm.common import BROADCAST_ROWS, prepare, shared_dir, with_spans
+from lumengrid.llm.common import BROADCAST_ROWS, lean, prepare, remove, shared_dir, with_spans
 from lumengrid.llm.queries import WORD_BPE
 
+#: Bytes of a repeated string that goes: fewer than 50 words have, in the languages at hand, so that shared passages of that size go too.
+PASSAGE = 240
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -44,7 +46,7 @@ def _rewritten(docs: DataFrame, change: Callable[[str, list | None], str], spans
             sizes = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, batch.column(4).to_pylist(), strict=True)], batch.column(4).type)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(2), batch.column(3), sizes], names=list(COLUMNS)).filter(keep)
 
-    return docs.select(*fields).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in COLUMNS))
+    return docs.select(*fields).mapInArrow(lean(run), ", ".join(f"{c} {kinds[c]}" for c in COLUMNS))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that occur twice go; a character that a cut goes through goes as a whole."""
+    """Strings of PASSAGE bytes or more that occur twice go; a character that a cut goes through goes as a whole."""
     prepare(spark)
 
     def change(text: str, spans: list | None) -> str:
@@ -72,7 +74,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             return text
         return suffixarray.cut(text.encode(), [(s["lo"], s["hi"]) for s in spans])[0].decode(errors="ignore")
 
-    return _rewritten(with_spans(docs.select(*COLUMNS), suffixarray.removed_spans(docs)), change, spans=True)
+    return _rewritten(with_spans(docs.select(*COLUMNS), suffixarray.removed_spans(docs, PASSAGE)), change, spans=True)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,8 +97,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to shared storage and read again."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    path = None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if stage is not pack:
+            now = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+            out.write.parquet(now)
+            docs = spark.read.parquet(now)
+        if path:  # what the next stage has read; packing keeps its tokens in a table of its own
+            remove(spark, path)
+        path = now
+    return out
