@@ -11,3 +11,4 @@ POPULAR, SHARD_ROWS, BUCKETS = 1000, 512, 16
 ALS_RANK, ALS_ITERATIONS, ALS_REG, SEED = 64, 10, 0.08, 42
 GATE_TOLERANCE = 1e-9
 SAMPLE_FRACTION = 0.01
+TEXT_DIMS = 384

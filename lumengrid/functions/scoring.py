@@ -26,7 +26,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    return F.transform(as_doubles(v), lambda x: x / F.greatest(norm(v), F.lit(FLAT)))
+    size = F.array(F.greatest(norm(v), F.lit(FLAT)))  # found once, not for each element
+    return F.flatten(F.transform(size, lambda n: F.transform(as_doubles(v), lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -9,6 +9,41 @@ YEAR_SUFFIX = r"\((\d{4})\)\s*$"
 NO_GENRES = "(no genres listed)"
 
 
+#: Fields of an item's metadata, whatever it comes from.
+METADATA = {
+    "title": "string", "release_year": "int", "overview": "string", "genres": "array<string>", "keywords": "array<string>", "poster_path": "string",
+    "vote_average": "double", "vote_count": "bigint", "popularity": "double", "runtime": "int", "source": "string",
+}
+_NAMED = "array<struct<name: string>>"
+PAYLOAD = f"""id bigint, title string, original_title string, release_date string, overview string, genres {_NAMED}, keywords struct<keywords: {_NAMED}>,
+    poster_path string, vote_average double, vote_count bigint, popularity double, runtime double"""
+
+
+def nothing() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _names(values: Column) -> Column:
+    named = F.filter(F.transform(values, lambda x: x["name"]), lambda n: n.isNotNull() & (n != ""))
+    return F.coalesce(named, nothing())
+
+
+def normalized(payload: Column) -> Column:
+    """A service's JSON answer as a struct of external_id and METADATA: blank texts and a runtime of 0 are unknown, names are listed where they are given."""
+    p = F.from_json(payload, PAYLOAD)
+    year, full = F.substring(F.coalesce(p["release_date"], F.lit("")), 1, 4), lambda x: F.nullif(x, F.lit(""))
+    fields = {
+        "title": F.coalesce(full(p["title"]), p["original_title"]),
+        "release_year": F.when(year.rlike("^[0-9]+$"), year).try_cast("int"),
+        "overview": full(p["overview"]),
+        "genres": _names(p["genres"]),
+        "keywords": _names(p["keywords"]["keywords"]),
+        "runtime": F.nullif(p["runtime"].cast("int"), F.lit(0)),
+        "source": F.lit("service"),
+    }
+    return F.struct(p["id"].alias("external_id"), *(fields.get(n, p[n] if n in ("poster_path", "vote_average", "vote_count", "popularity") else None).cast(kind).alias(n) for n, kind in METADATA.items()))
+
+
 def title_year(title: Column) -> Column:
     return F.nullif(F.regexp_extract(title, YEAR_SUFFIX, 1), F.lit("")).cast("int")
 
@@ -18,8 +53,7 @@ def bare_title(title: Column) -> Column:
 
 
 def genre_list(genres: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(genres.isNull() | (genres == NO_GENRES), none).otherwise(F.split(genres, r"\|"))
+    return F.when(genres.isNull() | (genres == NO_GENRES), nothing()).otherwise(F.split(genres, r"\|"))
 
 
 def _listed(name: str, values: Column) -> Column:

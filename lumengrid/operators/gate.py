@@ -6,15 +6,39 @@ import json
 from datetime import datetime, timezone
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from lumengrid.config import GATE_TOLERANCE
 
 METRIC = ("hybrid", "precision@10")
 
 
 def newest(results: list[dict]) -> dict:
+    """The latest one; of equal times the last in the list."""
     if not results:
         raise ValueError("there are no results")
-    return max(results, key=lambda r: r["generated_at"])
+    return max(enumerate(results), key=lambda r: (str(r[1].get("generated_at", "")), r[0]))[1]
+
+
+def read_results(folder: Path) -> list[dict]:
+    return [json.loads(p.read_text()) for p in sorted(Path(folder).glob("*.json"))]
+
+
+def write_result(result: dict, folder: Path) -> Path:
+    """The document in the folder, named by its revision or its time."""
+    path = Path(folder) / f"{(result.get('revision') or result['generated_at'].replace(':', ''))[:26]}.json"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps(result, indent=2) + "\n")
+    return path
+
+
+def compared(spark: SparkSession, new: dict, base: dict) -> DataFrame:
+    """ranker, metric, new_value, base_value and passed, for all that both documents measure."""
+    if new["mode"] != base["mode"]:
+        raise ValueError(f"modes differ: {new['mode']} and {base['mode']}")
+    side = lambda d, name: spark.createDataFrame([(r, m, float(x)) for r, of in d["rankers"].items() for m, x in of.items()], f"ranker string, metric string, {name} double")
+    return side(new, "new_value").join(side(base, "base_value"), ["ranker", "metric"]).withColumn("passed", F.col("new_value") >= F.col("base_value") - GATE_TOLERANCE)
 
 
 def passes(new: dict, base: dict) -> bool:
@@ -27,7 +51,7 @@ def passes(new: dict, base: dict) -> bool:
 
 def run_gate(folder: Path, baseline: Path) -> int:
     """0: passed, 1: worse, 2: nothing to compare."""
-    results = [json.loads(p.read_text()) for p in sorted(Path(folder).glob("*.json"))]
+    results = read_results(folder)
     if not results or not Path(baseline).exists():
         return 2
     try:

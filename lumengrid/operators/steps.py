@@ -70,9 +70,17 @@ def read_lines(path: Path) -> list[dict]:
     return out
 
 
-def pending(targets: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Targets whose key is not done; null keys of done count for nothing."""
-    return targets.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+def pending(targets: DataFrame, key: str, *done: DataFrame) -> DataFrame:
+    """Targets whose key is in none of the done tables; their null keys count for nothing."""
+    for d in done:
+        targets = targets.join(d.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    return targets
+
+
+def up_to_date(markers: Path, step: str, config: dict) -> bool:
+    """Whether a step was written, and with these settings."""
+    marker = read_marker(markers, step)
+    return marker is not None and marker.get("config") == fingerprint(config)
 
 
 def chunked(records: list, size: int) -> Iterator[list]:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumengrid import config
 from lumengrid.functions import scoring
+from lumengrid.operators import als
+from lumengrid.plans import catalog
 
 
 def temporal_split(ratings: DataFrame, holdout: float = config.HOLDOUT) -> DataFrame:
@@ -33,8 +39,8 @@ def profiles(train: DataFrame, vectors: DataFrame) -> DataFrame:
     rated = train.join(vectors.select("item_id", "embedding"), "item_id")
     any_liked = F.max((F.col("rating") >= config.LIKED).cast("int")).over(Window.partitionBy("user_id"))
     used = rated.withColumn("any_liked", any_liked).where((F.col("rating") >= config.LIKED) | (F.col("any_liked") == 0))
-    spread = used.select("user_id", F.posexplode("embedding").alias("at", "x")).groupBy("user_id", "at").agg(F.avg("x").alias("x"))
-    return spread.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p.x).alias("profile"))
+    mean = Summarizer.mean(array_to_vector("embedding"))
+    return used.groupBy("user_id").agg(vector_to_array(mean).alias("profile"))
 
 
 def user_factors(train: DataFrame, factors: DataFrame) -> DataFrame:
@@ -42,22 +48,29 @@ def user_factors(train: DataFrame, factors: DataFrame) -> DataFrame:
     return profiles(train.withColumn("rating", F.lit(5.0)), factors.withColumnRenamed("factor", "embedding")).withColumnRenamed("profile", "user_factor")
 
 
+RANKERS = ("embeddings_only", "cf_only", "hybrid")
+
+
 def scored(users: DataFrame, items: DataFrame) -> DataFrame:
     """user_id, item_id, semantic and behavioral (null without factor) for every user of a cohort and every catalog item.
 
-    A limited cohort meets the whole catalog by design; the cohort, of COHORT_LIMIT rows at most, is what is broadcast.
+    A limited cohort meets the whole catalog by design; the cohort, of COHORT_LIMIT rows at most, is what is broadcast. Vectors are
+    brought to unit length once each, before they meet.
     """
-    return items.crossJoin(F.broadcast(users)).select(
-        "user_id", "item_id", "bayes_score", scoring.cosine(F.col("profile"), F.col("embedding")).alias("semantic"), scoring.dot(F.col("user_factor"), F.col("factor")).alias("behavioral")
+    units = items.select("item_id", "bayes_score", scoring.l2_normalize(F.col("embedding")).alias("embedding"), "factor")
+    cohort = users.select("user_id", scoring.l2_normalize(F.col("profile")).alias("profile"), "user_factor")
+    return units.crossJoin(F.broadcast(cohort)).select(
+        "user_id", "item_id", "bayes_score", scoring.dot(F.col("profile"), F.col("embedding")).alias("semantic"), scoring.dot(F.col("user_factor"), F.col("factor")).alias("behavioral")
     )
 
 
-def rankings(scores: DataFrame) -> DataFrame:
-    """ranker, user_id, item_id and score for the three rankers; hybrid scores are scaled over a user's whole catalog."""
-    user = Window.partitionBy("user_id")
-    hybrid = scoring.blend({"semantic": F.col("semantic"), "behavioral": F.col("behavioral"), "quality": F.col("bayes_score")}, config.WEIGHTS, user)
-    wide = scores.select("user_id", "item_id", F.col("semantic").alias("embeddings_only"), F.col("behavioral").alias("cf_only"), hybrid.alias("hybrid"))
-    return wide.unpivot(["user_id", "item_id"], ["embeddings_only", "cf_only", "hybrid"], "ranker", "score")
+def rankings(scores: DataFrame, rankers: tuple[str, ...] = RANKERS) -> DataFrame:
+    """ranker, user_id, item_id and score for the rankers asked for; hybrid scores are scaled over a user's whole catalog."""
+    found = {"embeddings_only": F.col("semantic"), "cf_only": F.col("behavioral")}
+    if "hybrid" in rankers:
+        found["hybrid"] = scoring.blend({"semantic": F.col("semantic"), "behavioral": F.col("behavioral"), "quality": F.col("bayes_score")}, config.WEIGHTS, Window.partitionBy("user_id"))
+    wide = scores.select("user_id", "item_id", *(found[r].alias(r) for r in rankers))
+    return wide.unpivot(["user_id", "item_id"], list(rankers), "ranker", "score")
 
 
 def ranked(scores: DataFrame, train: DataFrame, k: int = max(config.CUTOFFS)) -> DataFrame:
@@ -82,11 +95,44 @@ def metrics(best: DataFrame, relevant: DataFrame, users: DataFrame) -> DataFrame
     return out
 
 
-def evaluate(ratings: DataFrame, items: DataFrame, factors: DataFrame, users_limit: int = config.COHORT_LIMIT) -> DataFrame:
+def evaluate(ratings: DataFrame, items: DataFrame, factors: DataFrame, users_limit: int = config.COHORT_LIMIT, rankers: tuple[str, ...] = RANKERS) -> DataFrame:
+    """metrics() with fixed factors of items; a user's factor is the mean of those rated in train."""
+    train, test = _sides(ratings, items)
+    return _measured(train, test, items, user_factors(train, factors), users_limit, rankers)
+
+
+def evaluate_trained(ratings: DataFrame, items: DataFrame, users_limit: int = config.COHORT_LIMIT, rankers: tuple[str, ...] = RANKERS, rank: int = config.ALS_RANK) -> DataFrame:
+    """metrics() with factors and statistics that have seen the train side alone."""
     split = temporal_split(ratings)
-    train, test = split.where("not is_test"), split.where("is_test")
-    train, test = (x.join(items.select("item_id"), "item_id", "left_semi") for x in (train, test))
+    model = als.fit(split.where("not is_test"), rank)
+    stats = catalog.bayes_stats(split.where("not is_test")).select("item_id", "bayes_score")
+    own = items.drop("factor", "bayes_score").join(als.item_factors(model).withColumnRenamed("features", "factor"), "item_id", "left").join(stats, "item_id", "left")
+    train, test = (x.join(items.select("item_id"), "item_id", "left_semi") for x in (split.where("not is_test"), split.where("is_test")))
+    return _measured(train, test, own, als.user_factors(model).withColumnRenamed("features", "user_factor"), users_limit, rankers)
+
+
+def _sides(ratings: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    split = temporal_split(ratings).join(items.select("item_id"), "item_id", "left_semi")
+    return split.where("not is_test"), split.where("is_test")
+
+
+def _measured(train: DataFrame, test: DataFrame, items: DataFrame, of_users: DataFrame, users_limit: int, rankers: tuple[str, ...]) -> DataFrame:
     users = cohort(train, test, items, users_limit)
-    vectors = profiles(train, items).join(users, "user_id", "left_semi").join(user_factors(train, factors), "user_id", "left")
-    best = ranked(rankings(scored(vectors, items)), train)
+    vectors = profiles(train, items).join(users, "user_id", "left_semi").join(of_users, "user_id", "left")
+    best = ranked(rankings(scored(vectors, items), rankers), train)
     return metrics(best, test.where(F.col("rating") >= config.LIKED).join(users, "user_id", "left_semi"), users)
+
+
+def result_document(measured: DataFrame, mode: str, n_candidates: int, revision: str | None = None) -> dict:
+    """The result of an evaluation as gate and readers expect it; an empty cohort is an error. measured: some rows for each ranker."""
+    rows = measured.collect()
+    if not rows:
+        raise ValueError("no user has both a train rating and a liked test rating")
+    rankers: dict[str, dict[str, float]] = {}
+    for r in sorted(rows, key=lambda r: (r.ranker, r.k)):
+        rankers.setdefault(r.ranker, {}).update({f"precision@{r.k}": r.precision, f"recall@{r.k}": r.recall})
+    return {
+        "schema_version": 1, "generated_at": datetime.now(timezone.utc).isoformat(), "revision": revision, "mode": mode, "sample_fraction": config.SAMPLE_FRACTION if mode == "sample" else None,
+        "holdout_fraction": config.HOLDOUT, "positive_threshold": config.LIKED, "k_values": list(config.CUTOFFS), "hybrid_weights": config.WEIGHTS, "n_candidates": n_candidates,
+        "n_users_evaluated": rows[0].users, "rankers": rankers,
+    }

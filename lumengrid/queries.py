@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql.window import Window
 
 from lumengrid import config
 from lumengrid.functions import scoring, text
-from lumengrid.operators import als, parser, steps
+from lumengrid.operators import als, gate, parser, steps
 from lumengrid.plans import catalog as cat
 from lumengrid.plans import discover, evaluate
-from lumengrid.sources import tables
+from lumengrid.sources import files, sampling, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,10 +93,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy(F.year(F.from_unixtime("ts")).cast("long").alias("rating_year"), F.pmod("item_id", F.lit(config.BUCKETS)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@register("hash_sample", "SELECT count(*) AS n, sum(user_id)::BIGINT AS users FROM ratings WHERE (user_id * 31 + item_id * 17) % 100 < 1", "ratings")
+@register("hash_sample", """SELECT count(*) AS n, sum(user_id)::BIGINT AS users FROM ratings
+    WHERE ('0x' || substr(md5('42|' || user_id || '|' || item_id), 1, 8))::BIGINT % 1000000 < 10000""", "ratings")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """The sampling operator in a form that doesn't depend on file layout: a share of key residues."""
-    kept = tables.ratings(spark, d).where((F.col("user_id") * 31 + F.col("item_id") * 17) % 100 < config.SAMPLE_FRACTION * 100)
+    """Sample mode's ratings, chosen by a hash of their keys, whatever the layout of files."""
+    kept = sampling.sampled(tables.ratings(spark, d), "ratings", True, "user_id", "item_id")
     return kept.agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
 
 
@@ -129,13 +131,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     linked = cat.linked_targets(tables.links(spark, d), tables.movies(spark, d)).select("external_id", "item_id")
     popular = cat.popular_unlinked(tables.export(spark, d), tables.links(spark, d)).select("external_id", F.lit(None).cast("long").alias("item_id"))
-    return linked.unionByName(popular)
+    return linked.unionByName(popular).orderBy("external_id")
 
 
-@register("pending_targets", "SELECT item_id, external_id FROM links WHERE external_id IS NOT NULL AND external_id NOT IN (SELECT external_id FROM export WHERE adult OR video)", "links", "export")
+@register("pending_targets", """SELECT item_id, external_id FROM links WHERE external_id IS NOT NULL AND external_id NOT IN (SELECT external_id FROM export WHERE adult OR video)
+    AND external_id NOT IN (SELECT external_id FROM export WHERE popularity > 1400)""", "links", "export")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    done = tables.export(spark, d).where("adult or video").select("external_id")
-    return steps.pending(tables.links(spark, d).where("external_id is not null"), done, "external_id").select("item_id", "external_id")
+    """Targets that neither of two logs has as done."""
+    e = tables.export(spark, d)
+    return steps.pending(tables.links(spark, d).where("external_id is not null"), "external_id", e.where("adult or video"), e.where("popularity > 1400")).select("item_id", "external_id")
 
 
 @register("top_tags_per_item", "SELECT item_id, array_to_string(keywords, ',') AS keywords, len(keywords) AS n FROM top_tags", "top_tags")
@@ -150,7 +154,8 @@ _FALLBACK = """SELECT item_id, external_id, regexp_replace(title, '\\s*\\(\\d{4}
 
 @register("fallback_metadata", f"SELECT * EXCLUDE (genres, keywords), array_to_string(genres, ',') AS genres, len(keywords) AS n_keywords FROM ({_FALLBACK})", "links", "movies", "top_tags")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return cat.fallback_metadata(spark, d).withColumn("n_keywords", F.size("keywords").cast("long")).withColumn("genres", F.array_join("genres", ",")).drop("keywords")
+    m = cat.fallback_metadata(spark, d)
+    return m.select("item_id", "external_id", "title", "release_year", "overview", F.array_join("genres", ",").alias("genres"), F.size("keywords").cast("long").alias("n_keywords"), "source")
 
 
 @register("embedding_text", f"""SELECT item_id, title || ' (' || release_year || '). Genres: ' || array_to_string(genres, ', ') || '.'
@@ -160,14 +165,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return m.select("item_id", text.described(F.col("title"), F.col("release_year"), F.col("overview"), F.col("genres"), F.col("keywords")).alias("text"))
 
 
-@register("query_text", """SELECT label AS query_id, CASE WHEN label = 0 THEN 'a movie.' ELSE 'query ' || label || '.' END
-    || CASE WHEN label % 2 = 1 THEN ' Genres: Drama, War.' ELSE '' END AS text FROM (SELECT DISTINCT label FROM embeddings)""")
+_ASKED = (parser.Spec(text="a quiet film", include=[" Drama", "War ", "drama", ""], moods=["darker"]), parser.Spec(references=["Heat"], moods=["funnier", "lighter"]), parser.Spec(include=["War"]), parser.Spec())
+
+
+@register("query_text", """SELECT * FROM (VALUES (0::BIGINT, 'a quiet film. Genres: Drama, War. Keywords: darker.'), (1, 'Heat, funnier, lighter. Keywords: funnier, lighter.'), (2, 'a movie. Genres: War.'), (3, 'a movie.')) t(query_id, text)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(k, parser.query_text(s)) for k, s in enumerate(_ASKED)], "query_id long, text string")
+
+
+@register("query_parse", """SELECT p_partkey AS query_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'Comedy' ELSE 'Drama' END AS include, 'Horror' AS exclude, (1900 + p_size)::INT AS start_year,
+    CASE WHEN p_partkey % 3 = 0 THEN 7.5::DOUBLE END AS min_rating FROM part""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    q = tables.table(spark, d, "embeddings").select("label").distinct()
-    head = F.when(F.col("label") == 0, "a movie").otherwise(F.concat(F.lit("query "), F.col("label").cast("string")))
-    genres = F.when(F.col("label") % 2 == 1, text.cleaned(F.array(F.lit(" Drama"), F.lit("War "), F.lit("drama"), F.lit("")))).otherwise(F.array().cast("array<string>"))
-    none = F.array().cast("array<string>")
-    return q.select(F.col("label").alias("query_id"), text.described(head, F.lit(0), F.lit(None).cast("string"), genres, none).alias("text"))
+    """A table of queries, parsed where they lie."""
+    genre = F.when(F.col("p_partkey") % 2 == 0, "hilarious").otherwise("dramas")
+    praise = F.when(F.col("p_partkey") % 3 == 0, " and well-reviewed").otherwise("")
+    asked = F.concat(F.lit("Something like "), "p_name", F.lit(", "), genre, praise, F.lit(", not scary, since "), (F.col("p_size") + 1900).cast("string"))
+    found = parser.parsed(tables.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), asked.alias("text")))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("query_id", F.array_join("references", ",").alias("title"), joined("include"), joined("exclude"), F.col("start").alias("start_year"), "min_rating")
 
 
 @register("poster_url", "SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 <> 0 THEN 'https://img.example.org/w342' || '/' || p_brand || '.jpg' END AS poster_url FROM part")
@@ -176,10 +191,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), text.poster_url(path, "https://img.example.org/w342").alias("poster_url"))
 
 
-@register("payload_normalize", """SELECT event_id, k, CASE WHEN k % 2 = 0 THEN k END AS runtime, event_type AS name FROM (SELECT event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events)""")
+@register("payload_normalize", """SELECT p_partkey + 100000 AS external_id, p_name AS title, CASE WHEN p_partkey % 4 > 1 THEN (1950 + p_size)::INT END AS release_year, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS overview,
+    p_brand AS genres, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS keywords, p_retailprice AS popularity, CASE WHEN p_partkey % 5 > 0 THEN (p_partkey % 5)::INT END AS runtime, 'service' AS source FROM part""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = F.from_json("props", "k INT").getField("k")
-    return tables.table(spark, d, "events").select("event_id", p.alias("k"), F.nullif(F.when(p % 2 == 0, p).otherwise(-1), F.lit(-1)).alias("runtime"), F.col("event_type").alias("name"))
+    """JSON answers of a service, with blanks, zeros, absent fields and names that aren't given, as metadata."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    named = lambda x: F.struct(F.lit(7).alias("id"), x.alias("name"))
+    date = F.when(k % 4 == 0, "").when(k % 4 == 1, none).otherwise(F.concat((F.col("p_size") + 1950).cast("string"), F.lit("-02-03")))
+    answer = F.to_json(
+        F.struct(
+            (k + 100000).alias("id"), F.when(k % 2 == 0, F.col("p_name")).otherwise("").alias("title"), F.col("p_name").alias("original_title"), date.alias("release_date"),
+            F.when(k % 3 == 0, "").otherwise(F.col("p_type")).alias("overview"), F.array(named(F.col("p_brand")), named(F.lit("")), named(none)).alias("genres"),
+            F.when(k % 2 == 0, F.struct(F.array(named(F.col("p_type"))).alias("keywords"))).alias("keywords"), F.col("p_retailprice").alias("popularity"), (k % 5).alias("runtime"),
+        )
+    )
+    p = tables.table(spark, d, "part").select(text.normalized(answer).alias("m")).select("m.*")
+    return p.select("external_id", "title", "release_year", "overview", *(F.array_join(c, ",").alias(c) for c in ("genres", "keywords")), "popularity", "runtime", "source")
 
 
 @register("checksum_parse", "SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS digest FROM orders")
@@ -199,11 +226,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tables.links(spark, d).groupBy(F.when(F.col("external_id").isNull(), "none").otherwise("linked").alias("source")).agg(F.count("*").alias("n"), F.count("external_id").alias("with_id"))
 
 
-@register("shard_plan", "SELECT (item_id // 512)::BIGINT AS shard, count(*) AS n, min(item_id) AS low, max(item_id) AS high FROM vectors GROUP BY 1", "vectors")
+@register("shard_plan", "SELECT shard, count(*) AS n, min(item_id) AS low, max(item_id) AS high FROM (SELECT item_id, ((row_number() OVER (ORDER BY item_id) - 1) // 512)::INT AS shard FROM vectors WHERE item_id % 7 <> 3) GROUP BY 1", "vectors")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Shards by id; ids without gaps make shards of equal size."""
-    v = tables.embeddings(spark, d)
-    return v.groupBy(F.floor(F.col("item_id") / config.SHARD_ROWS).cast("long").alias("shard")).agg(F.count("*").alias("n"), F.min("item_id").alias("low"), F.max("item_id").alias("high"))
+    """Shards of equal size, although ids have gaps."""
+    v = files.with_shard(tables.embeddings(spark, d).where("item_id % 7 <> 3").select("item_id"), config.SHARD_ROWS)
+    return v.groupBy("shard").agg(F.count("*").alias("n"), F.min("item_id").alias("low"), F.max("item_id").alias("high"))
 
 
 @register("cosine_cases", """SELECT item_id, round(list_cosine_similarity(embedding, factor), 6) AS cosine, round(list_dot_product(embedding, factor), 6) AS dot, round(sqrt(list_dot_product(embedding, embedding)), 6) AS norm
@@ -237,14 +264,32 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return cat.catalog(spark, d).where("item_id = 42").select("item_id", "title", "release_year", F.array_join("genres", ",").alias("genres"))
 
 
+@register("published_lookup", "SELECT item_id, title, release_year, rating_count, round(bayes_score, 6) AS bayes_score FROM catalog WHERE item_id = 42", "catalog")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog written once, and one item read from it by a filter that reaches its row groups."""
+    root = f"{store.scratch(spark)}/catalog-{uuid.uuid4().hex}"
+    store.publish(cat.catalog(spark, d), root)
+    return store.lookup(spark, root, 42).select("item_id", "title", "release_year", "rating_count", F.round("bayes_score", 6).alias("bayes_score"))
+
+
+@register("published_counts", "SELECT count(*) AS n, count(factor) AS with_factor, count(rating_count) AS rated, sum(len(embedding))::BIGINT AS numbers FROM catalog", "catalog")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    root = f"{store.scratch(spark)}/catalog-{uuid.uuid4().hex}"
+    store.publish(cat.catalog(spark, d).limit(0), root)
+    store.publish(cat.catalog(spark, d), root)
+    store.clean(spark, root)
+    return store.published(spark, root).agg(F.count("*").alias("n"), F.count("factor").alias("with_factor"), F.count("rating_count").alias("rated"), F.sum(F.size("embedding")).alias("numbers"))
+
+
 SPEC = parser.Spec(references=["red widget", "small ring", "no such title"], include=["economy"], exclude=["Brand#2"], start=1975, end=2015, min_rating=3.0, text="red widget")
 _FILTER = """list_contains(list_transform(genres, lambda g: lower(g)), 'economy') AND NOT list_contains(list_transform(genres, lambda g: lower(g)), 'brand#2')
     AND release_year >= 1975 AND release_year <= 2015 AND coalesce(vote_average, rating_mean * 2) >= 3.0"""
 _REFS = """refs AS (SELECT asked, item_id, title, factor FROM (SELECT t.asked, c.*, row_number() OVER (PARTITION BY t.asked ORDER BY (lower(c.title) = t.title) DESC, rating_count DESC NULLS LAST, item_id) AS k
     FROM (VALUES (0, 'red widget'), (1, 'small ring'), (2, 'no such title')) t(asked, title) JOIN catalog c ON contains(lower(c.title), t.title)) WHERE k = 1)"""
 _POOL = f"""pool AS (SELECT *, round(list_cosine_similarity(embedding, (SELECT embedding FROM catalog WHERE item_id = 3)), 9) AS semantic FROM catalog
-    WHERE {_FILTER} ORDER BY semantic DESC, item_id LIMIT 200)"""
-_BEHAVIORAL = """signals AS (SELECT pool.*, b.behavioral FROM pool LEFT JOIN (SELECT p.item_id, avg(list_cosine_similarity(p.factor, r.factor)) AS behavioral
+    WHERE {_FILTER} AND item_id NOT IN (SELECT item_id FROM refs) ORDER BY semantic DESC, item_id LIMIT 200)"""
+_BEHAVIORAL = """signals AS (SELECT pool.*, b.behavioral, (SELECT string_agg(title, ',' ORDER BY asked) FROM refs WHERE factor IS NOT NULL) AS fans FROM pool
+    LEFT JOIN (SELECT p.item_id, avg(list_cosine_similarity(p.factor, r.factor)) AS behavioral
     FROM (SELECT item_id, factor FROM pool WHERE factor IS NOT NULL) p, (SELECT factor FROM refs WHERE factor IS NOT NULL) r GROUP BY 1) b USING (item_id))"""
 
 
@@ -255,21 +300,23 @@ def _scaled(x: str, over: str = "()") -> str:
 
 def _page(parts: dict[str, float], limit: int) -> str:
     score = " + ".join(f"{w}::DOUBLE * ({_scaled(x)})" for x, w in parts.items())
-    return f"""SELECT row_number() OVER (ORDER BY score DESC, semantic DESC, item_id) AS rank, item_id, title, score, round(semantic, 4) AS semantic, round(behavioral, 4) AS behavioral,
-    round(bayes_score, 4) AS bayes_score FROM (SELECT *, round({score}, 6) AS score FROM signals) ORDER BY 1 LIMIT {limit}"""
+    return f"""SELECT row_number() OVER (ORDER BY score DESC, semantic DESC, item_id) AS rank, item_id, title, release_year, array_to_string(genres, ',') AS genres, vote_average, rating_count, score,
+    round(semantic, 4) AS semantic, round(behavioral, 4) AS behavioral, round(bayes_score, 4) AS bayes_score, CASE WHEN behavioral IS NULL THEN '' ELSE fans END AS fans_of
+    FROM (SELECT *, round({score}, 6) AS score FROM signals) ORDER BY 1 LIMIT {limit}"""
 
 
 def _query_vector(c: DataFrame) -> DataFrame:
     return c.where("item_id = 3").select(F.col("embedding").alias("query"))
 
 
-def _pooled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _pooled(spark: SparkSession, d: str, titles: list[str] = SPEC.references) -> tuple[DataFrame, DataFrame]:
+    """Candidates, and what the request refers to."""
     c = cat.catalog(spark, d)
-    with_query = c.crossJoin(F.broadcast(_query_vector(c)))
-    return discover.pool(with_query, F.col("query"), SPEC), c
+    refs = discover.references(c, titles)
+    return discover.pool(c.crossJoin(F.broadcast(_query_vector(c))), F.col("query"), SPEC, refs), refs
 
 
-@register("candidate_pool", _with(f", {_POOL} SELECT item_id, title, round(semantic, 6) AS semantic FROM pool", "catalog").replace("\n, pool", ", pool"))
+@register("candidate_pool", _with(f", {_REFS}, {_POOL} SELECT item_id, title, round(semantic, 6) AS semantic FROM pool", "catalog").replace("\n, refs", ", refs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _pooled(spark, d)[0].select("item_id", "title", F.round("semantic", 6).alias("semantic"))
 
@@ -279,9 +326,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return discover.references(cat.catalog(spark, d), SPEC.references).select("asked", "item_id", "title", F.col("factor").isNotNull().alias("has_factor"))
 
 
-def _signals(spark: SparkSession, d: str) -> DataFrame:
-    p, c = _pooled(spark, d)
-    return discover.behavioral(p, discover.references(c, SPEC.references))
+def _signals(spark: SparkSession, d: str, titles: list[str] = SPEC.references) -> DataFrame:
+    return discover.behavioral(*_pooled(spark, d, titles))
 
 
 _ALL = _with(f", {_REFS}, {_POOL}, {_BEHAVIORAL} ", "catalog").replace("\n, refs", ", refs")
@@ -299,20 +345,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "part").select("p_partkey", F.round(scoring.minmax(x, w), 6).alias("scaled"), F.round(scoring.minmax(F.when(F.col("p_size") >= 0, 7.0), w), 6).alias("flat"))
 
 
+def _shown(page: DataFrame) -> DataFrame:
+    return page.withColumns({c: F.array_join(c, ",") for c in ("genres", "fans_of")})
+
+
 @register("hybrid_rank", _ALL + _page({"semantic": 0.45, "behavioral": 0.4, "bayes_score": 0.15}, 200))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return discover.hybrid(_signals(spark, d), True, config.POOL)
+    return _shown(discover.hybrid(_signals(spark, d), config.POOL))
 
 
-@register("hybrid_rank_no_behavioral", _ALL.replace("b.behavioral FROM", "NULL::DOUBLE AS behavioral FROM") + _page({"semantic": 0.45 / 0.6, "bayes_score": 0.15 / 0.6}, 200))
+@register("hybrid_rank_no_behavioral", _ALL.replace("JOIN catalog c ON", "JOIN catalog c ON t.asked = 2 AND") + _page({"semantic": 0.45 / 0.6, "bayes_score": 0.15 / 0.6}, 200))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return discover.hybrid(_pooled(spark, d)[0].withColumn("behavioral", F.lit(None).cast("double")), False, config.POOL)
+    """A request that refers to nothing known: the data say that a signal is absent, and its weight goes to the others."""
+    return _shown(discover.hybrid(_signals(spark, d, ["no such title"]), config.POOL))
 
 
 @register("discover_page", f"SELECT *, 'genre: economy; not genre: Brand#2; year: 1975-2015; rating: >= 3/10' AS filters FROM ({_ALL}{_page({'semantic': 0.45, 'behavioral': 0.4, 'bayes_score': 0.15}, 20)})")
 def _(spark: SparkSession, d: str) -> DataFrame:
     spec, limit = parser.resolve(None, SPEC)
-    return discover.hybrid(_signals(spark, d), True, limit).withColumn("filters", F.lit("; ".join(parser.described(spec))))
+    return _shown(discover.hybrid(_signals(spark, d), limit)).withColumn("filters", F.lit("; ".join(parser.described(spec))))
 
 
 @register("user_profile_mean", """SELECT user_id, round(avg(v), 6) AS first_value, count(*) AS items FROM (
@@ -337,10 +388,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.cohort(train, test, c)
 
 
-@register("user_item_dot", """SELECT t.user_id, t.item_id, round(list_dot_product(t.embedding, f.factor), 6) AS score FROM (SELECT user_id, train.item_id, embedding FROM train JOIN catalog USING (item_id)) t JOIN factors f ON f.item_id = t.item_id""", "train", "factors")
+@register("user_item_dot", """SELECT u.user_id, f.item_id, round(list_dot_product(u.user_factor, f.factor), 6) AS score FROM (SELECT user_id, list(x ORDER BY k) AS user_factor FROM (
+    SELECT user_id, k, avg(x) AS x FROM (SELECT t.user_id, unnest(f.factor) AS x, generate_subscripts(f.factor, 1) AS k FROM train t JOIN factors f USING (item_id)) GROUP BY 1, 2) GROUP BY 1) u
+    JOIN test USING (user_id) JOIN factors f USING (item_id)""", "train", "test", "factors")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    c, train, _ = _split(spark, d)
-    return train.join(c.select("item_id", "embedding", "factor").where("factor is not null"), "item_id").select("user_id", "item_id", F.round(scoring.dot(F.col("embedding"), F.col("factor")), 6).alias("score"))
+    """What a user's factor, learnt from train, says of the items in test."""
+    _, train, test = _split(spark, d)
+    f = tables.factors(spark, d)
+    return test.select("user_id", "item_id").join(evaluate.user_factors(train, f), "user_id").join(f, "item_id").select("user_id", "item_id", F.round(scoring.dot(F.col("user_factor"), F.col("factor")), 6).alias("score"))
 
 
 _EVALUATE = f"""profiles AS MATERIALIZED (SELECT user_id, list(x ORDER BY k) AS profile FROM (SELECT user_id, k, avg(x) AS x FROM (
@@ -366,7 +421,7 @@ SELECT ranker, k, round(avg(got / k::DOUBLE), 9) AS precision, round(avg(got / w
 def _evaluated(ranker: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         c = cat.catalog(spark, d)
-        return evaluate.evaluate(tables.ratings(spark, d), c, c.where("factor is not null").select("item_id", "factor")).where(F.col("ranker") == ranker)
+        return evaluate.evaluate(tables.ratings(spark, d), c, c.where("factor is not null").select("item_id", "factor"), rankers=(ranker,))
 
     return run
 
@@ -377,11 +432,22 @@ for _name, _ranker in (("eval_embeddings_only", "embeddings_only"), ("eval_cf_fi
     register(_name, _sql)(_evaluated(_ranker))
 
 
-@register("gate_compare", "SELECT new.ranker, new.value::DOUBLE AS new_value, base.value::DOUBLE AS base_value, new.value >= base.value - 1e-9 AS passed FROM (VALUES ('hybrid', 0.0348), ('cf_only', 0.013)) new(ranker, value) JOIN (VALUES ('hybrid', 0.0348), ('cf_only', 0.02)) base(ranker, value) USING (ranker)")
+def _document(hybrid: float, cf: float, **more: object) -> dict:
+    return {"mode": "full", "rankers": {"hybrid": {"precision@10": hybrid, "recall@10": 0.3}, "cf_only": {"precision@10": cf}}, **more}
+
+
+@register("gate_compare", """SELECT * FROM (VALUES ('hybrid', 'precision@10', 0.0348::DOUBLE, 0.0348::DOUBLE, true), ('hybrid', 'recall@10', 0.3, 0.3, true), ('cf_only', 'precision@10', 0.013, 0.02, false))
+    t(ranker, metric, new_value, base_value, passed)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The newest of several results (of equal times the last one) against a baseline."""
+    results = [_document(0.9, 0.9, generated_at="2024-01-01"), _document(0.1, 0.1, generated_at="2024-02-01"), _document(0.0348, 0.013, generated_at="2024-02-01")]
+    return gate.compared(spark, gate.newest(results), _document(0.0348 + 5e-10, 0.02)).withColumn("base_value", F.round("base_value", 6))
+
+
+@register("eval_trained")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    new = spark.createDataFrame([("hybrid", 0.0348), ("cf_only", 0.013)], "ranker string, new_value double")
-    base = spark.createDataFrame([("hybrid", 0.0348), ("cf_only", 0.02)], "ranker string, base_value double")
-    return new.join(base, "ranker").withColumn("passed", F.col("new_value") >= F.col("base_value") - config.GATE_TOLERANCE)
+    """All three rankers with factors and statistics of the train side alone."""
+    return evaluate.evaluate_trained(tables.ratings(spark, d), cat.catalog(spark, d))
 
 
 @register("als_factors")
@@ -398,10 +464,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @register("lsh_neighbours")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return als.lsh_neighbours(tables.embeddings(spark, d), 7, config.NEIGHBOURS)
+    """Approximate neighbours of every item whose id is divisible by 50, among all items."""
+    return als.lsh_neighbours(tables.embeddings(spark, d), F.col("item_id") % 50 == 0, config.NEIGHBOURS)
 
 
 @register("encoded_text")
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = cat.fallback_metadata(spark, d)
-    return als.hashed_vectors(m.select("item_id", text.described(F.col("title"), F.col("release_year"), F.col("overview"), F.col("genres"), F.col("keywords")).alias("text")))
+    return als.encoded(m.select("item_id", text.described(F.col("title"), F.col("release_year"), F.col("overview"), F.col("genres"), F.col("keywords")).alias("text")), 384)

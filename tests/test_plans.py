@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumengrid.operators import als, parser
+from lumengrid.operators import als, gate, parser
 from lumengrid.plans import catalog, discover, evaluate
 
 RATINGS = "user_id long, item_id long, rating double, ts long"
@@ -88,16 +89,22 @@ def test_references_and_behavioral(spark):
 def test_hybrid_and_neighbours(spark):
     c = small(spark)
     p = discover.pool(c, F.array(F.lit(1.0), F.lit(0.0)), parser.Spec())
-    page = discover.hybrid(discover.behavioral(p, discover.references(c, ["Alpha"])), True).orderBy("rank").collect()
+    page = discover.hybrid(discover.behavioral(p, discover.references(c, ["Alpha"]))).orderBy("rank").collect()
     assert page[0].rank == 1 and {r.item_id for r in page} == {1, 2, 3} and page[-1].item_id == 3 and page[-1].behavioral is None
-    assert [r.item_id for r in discover.hybrid(p.withColumn("behavioral", F.lit(None).cast("double")), False, 2).collect()] == [2, 1]
-    assert discover.hybrid(p.limit(0).withColumn("behavioral", F.lit(None).cast("double")), False).collect() == []
+    assert page[0].fans_of == ["Alpha"] and page[-1].fans_of == []
+    absent = discover.behavioral(p, discover.references(c, ["Gamma"]))  # known, but without a factor
+    rest = discover.hybrid(absent).orderBy("rank").collect()
+    assert rest[0].item_id == 2 and rest[0].score == 1.0 and all(r.fans_of == [] for r in rest)  # the two signals left share all weight
+    assert discover.hybrid(absent.limit(0)).collect() == []
+    assert [r.item_id for r in discover.pool(c, F.array(F.lit(1.0), F.lit(0.0)), parser.Spec(), discover.references(c, ["beta"])).collect()] == [1, 3]
     assert [r.item_id for r in discover.neighbours(c, 1, "embedding").collect()] == [3, 2]
     assert discover.neighbours(c, 3, "factor").collect() == []
 
 
 def test_filters(spark):
     c = small(spark)
+    got = {r.item_id for r in c.where(parser.predicate(parser.Spec(), (2,))).collect()}
+    assert got == {1, 3}
     ids = lambda spec, *out: [r.item_id for r in c.where(parser.predicate(spec, tuple(out))).orderBy("item_id").collect()]
     assert ids(parser.Spec()) == [1, 2, 3]
     assert ids(parser.Spec(exclude=["drama"])) == [2, 3]
@@ -117,5 +124,42 @@ def test_als(spark):
 def test_encoder_and_lsh(spark):
     v = als.hashed_vectors(spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "x y z")], "item_id long, text string"), 64)
     assert all(sum(x * x for x in r.embedding) == pytest.approx(1.0, abs=1e-5) for r in v.collect())
-    near = als.lsh_neighbours(v.select("item_id", F.col("embedding").cast("array<double>").alias("embedding")), 1, 1).collect()
-    assert [r.item_id for r in near] in ([2], [])
+    near = als.lsh_neighbours(v.select("item_id", F.col("embedding").cast("array<double>").alias("embedding")), F.col("item_id") == 1, 1).collect()
+    assert [(r.query_id, r.item_id) for r in near] in ([(1, 2)], [])
+    texts = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert len(als.encoded(texts, 32).first().embedding) == 32
+    with pytest.raises(Exception, match="has not 32 numbers"):
+        als.encoded(texts, 32, lambda t: als.hashed_vectors(t, 16)).collect()
+
+
+def test_lsh_recall(spark):
+    """Against brute force, for every id divisible by 50."""
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(60, 32))
+    v = middles[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 32))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "item_id long, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in als.lsh_neighbours(df, F.col("item_id") % 50 == 0, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.item_id)
+    hits = 0
+    for q in range(0, 3000, 50):
+        near = u @ u[q]
+        near[q] = -2
+        hits += len(set(np.argsort(-near)[:10].tolist()) & got.get(q, set()))
+    assert hits >= 0.9 * 600
+
+
+def test_evaluation_of_trained_factors(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(u, i, 5.0 if (u + i) % 2 else 1.0, rng.randint(0, 999)) for u in range(30) for i in rng.sample(range(40), 14)]
+    items = spark.createDataFrame([(i, [1.0, float(i % 2)], 2.0, None) for i in range(40)], "item_id long, embedding array<double>, bayes_score double, factor array<double>")
+    got = evaluate.evaluate_trained(spark.createDataFrame(rows, RATINGS), items, rank=4)
+    doc = evaluate.result_document(got, "full", 40)
+    assert set(doc["rankers"]) == set(evaluate.RANKERS) and doc["n_users_evaluated"] > 10 and set(doc["rankers"]["hybrid"]) == {"precision@10", "recall@10", "precision@25", "recall@25"}
+    assert doc["rankers"]["cf_only"]["recall@10"] > doc["rankers"]["embeddings_only"]["recall@10"] - 1
+    gate.promote(doc, tmp_path / "base.json", "first")
+    gate.write_result(doc, tmp_path / "results")
+    assert gate.run_gate(tmp_path / "results", tmp_path / "base.json") == 0
+    with pytest.raises(ValueError, match="no user"):
+        evaluate.result_document(got.limit(0), "full", 40)

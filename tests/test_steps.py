@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumengrid.operators import gate, steps
-from lumengrid.sources import files
+from lumengrid.sources import files, sampling, store
 
 
 def test_write_step_and_markers(spark, tmp_path):
@@ -33,7 +33,8 @@ def test_lines(tmp_path):
 
 def test_pending_chunked_tables(spark):
     t, done = spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(2,), (None,)], "k int")
-    assert sorted(r.k for r in steps.pending(t, done, "k").collect()) == [1, 3]
+    assert sorted(r.k for r in steps.pending(t, "k", done).collect()) == [1, 3]
+    assert sorted(r.k for r in steps.pending(t, "k", done, spark.createDataFrame([(3,)], "k int")).collect()) == [1]
     assert list(steps.chunked([1, 2, 3], 2)) == [[1, 2], [3]]
     with pytest.raises(ValueError):
         list(steps.chunked([1], 0))
@@ -51,10 +52,35 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).where("rating_year = 2001").count() == 1
     (tmp_path / "e.json").write_text('{"adult":false,"id":7,"original_title":"t","popularity":1.5,"video":false}\n')
     assert files.read_json_lines(spark, str(tmp_path / "e.json"), files.EXPORT).first().id == 7
-    files.write_shards(spark.range(11).select(F.col("id").alias("item_id")), str(tmp_path / "s"), 5)
+    for n in (40, 11):  # shards of the larger set don't outlive it
+        assert files.write_shards(spark.range(n).select((F.col("id") * 3).alias("item_id")), str(tmp_path / "s"), 5) == -(-n // 5)
     assert {r.shard: r["count"] for r in spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().collect()} == {0: 5, 1: 5, 2: 1}
 
 
+def test_store(spark, tmp_path):
+    root = str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        store.published(spark, root)
+    old = store.publish(spark.range(5).withColumnRenamed("id", "item_id"), root)
+    store.publish(spark.range(100).withColumnRenamed("id", "item_id"), root)
+    assert store.published(spark, root).count() == 100 and spark.read.parquet(old).count() == 5
+    assert store.clean(spark, root) == 1 and store.lookup(spark, root, 42).count() == 1 and store.lookup(spark, root, 100).count() == 0
+
+
+def test_sampling(spark):
+    df = spark.range(200_000).withColumnRenamed("id", "user_id")
+    one = {r.user_id for r in sampling.sampled(df, "ratings", True, "user_id").collect()}
+    assert 1700 < len(one) < 2300 and one == {r.user_id for r in sampling.sampled(df.repartition(7), "ratings", True, "user_id").collect()}
+    assert sampling.sampled(df, "movies", True, "user_id") is df and sampling.sampled(df, "ratings", False, "user_id") is df
+    with pytest.raises(ValueError):
+        sampling.share("other", True)
+
+
+def test_up_to_date(tmp_path):
+    steps.write_marker(tmp_path, "cf", 5, config=steps.fingerprint({"rank": 64}))
+    assert steps.up_to_date(tmp_path, "cf", {"rank": 64}) and not steps.up_to_date(tmp_path, "cf", {"rank": 32}) and not steps.up_to_date(tmp_path, "other", {})
+
+
 def result(value, mode="full", at="2024-01-01"):
     return {"mode": mode, "generated_at": at, "rankers": {"hybrid": {"precision@10": value}}}
 
