@@ -30,7 +30,7 @@ from lumengrid.llm import textkernel as tk
 from lumengrid.llm.common import discard, lean, merged_spans, only, remove, shared_dir, stored, tasks, texts, with_spans
 
 #: Words of a window and of an anchor, batches of a load, runs before compaction.
-SIZE, GRAM, BATCHES, MOST = 20, 10, 3, 2
+SIZE, GRAM, BATCHES, MOST = 20, 10, 2, 2
 SPAN = SIZE - GRAM + 1
 
 
