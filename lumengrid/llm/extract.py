@@ -38,7 +38,11 @@ TRAINING = (
     (60, 0.00, 45, 0.00, 80, 0.00, 0, 0, 1), (42, 0.05, 9, 0.00, 33, 0.00, 0, 0, 1), (28, 0.00, 1, 1.00, 55, 0.00, 0, 0, 1), (95, 0.10, 70, 0.00, 3, 1.00, 0, 0, 1),
     (22, 0.00, 40, 0.00, 36, 0.04, 0, 0, 1), (19, 0.00, 33, 0.00, 21, 0.00, 0, 0, 1), (9, 0.00, 50, 0.00, 60, 0.00, 0, 0, 1), (7, 0.00, 61, 0.00, 44, 0.00, 0, 0, 1),
     (6, 0.00, 3, 1.00, 75, 0.00, 0, 0, 1), (10, 0.00, 2, 1.00, 48, 0.00, 0, 0, 1), (35, 0.00, 28, 0.00, 6, 0.00, 0, 0, 1), (16, 0.00, 64, 0.00, 52, 0.00, 0, 0, 1),
+    # lone paragraphs, and the last ones of a page without marks
+    (27, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (18, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (34, 0.05, 52, 0.00, 0, 0.00, 0, 0, 1), (21, 0.00, 44, 0.00, 2, 1.00, 0, 0, 1),
+    (58, 0.00, 30, 0.00, 3, 1.00, 0, 0, 1), (25, 0.00, 9, 0.00, 0, 0.00, 0, 0, 1), (14, 0.00, 38, 0.00, 0, 0.00, 0, 0, 1), (40, 0.10, 1, 1.00, 0, 0.00, 0, 0, 1),
     # menus, link lists and remarks without marks
+    (27, 0.90, 0, 0.00, 0, 0.00, 0, 0, 0), (18, 0.80, 44, 0.00, 0, 0.00, 0, 0, 0), (4, 0.00, 52, 0.00, 0, 0.00, 0, 0, 0), (6, 0.00, 30, 0.00, 3, 1.00, 0, 0, 0),
     (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0), (2, 1.00, 1, 1.00, 60, 0.00, 0, 0, 0), (3, 1.00, 70, 0.00, 2, 1.00, 0, 0, 0), (4, 0.80, 2, 1.00, 3, 1.00, 0, 0, 0),
     (12, 0.90, 1, 1.00, 1, 1.00, 0, 0, 0), (20, 0.70, 30, 0.80, 4, 1.00, 0, 0, 0), (40, 0.75, 6, 1.00, 5, 1.00, 0, 0, 0), (3, 0.00, 2, 1.00, 2, 1.00, 0, 0, 0),
     (5, 0.00, 1, 1.00, 4, 0.00, 0, 0, 0), (2, 0.00, 4, 0.00, 3, 0.00, 0, 0, 0), (4, 0.00, 5, 0.00, 2, 1.00, 0, 0, 0), (6, 0.50, 3, 0.00, 2, 1.00, 0, 0, 0),
@@ -100,7 +104,12 @@ OUTSIDE_NAMES = frozenset(
     comment comments commentlist reply replies respond disqus discussion share sharing social related recommended pagination pager toolbar search form""".split()
 )
 INSIDE_NAMES = frozenset("article post entry story content main body articlebody postbody storybody".split())
-_TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
+#: Beginnings of class names that only tell what a page has or is filed under, and names that do so as a whole.
+_ABOUT = ("has-", "no-", "with-", "without-", "is-", "category-", "tag-", "js-", "comments-open", "comments-closed")
+#: What may stand in a head whose end tag is left out.
+_IN_HEAD = frozenset("title meta link base script style noscript template".split())
+# a quote that is never closed ends with its tag
+_TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -110,29 +119,35 @@ class Block(NamedTuple):
     words: int
     link_density: float
     inside: bool
-    outside: bool
+    outside: int
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a tag opens the article, and whether it opens something outside it."""
-    inside, outside = tag in ("article", "main"), tag in OUTSIDE_TAGS
+#: What puts a block outside: a mark, or a form alone, which may wrap a whole page.
+MARK, FORM = 1, 2
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether a tag opens the article, and how it opens something outside it."""
+    inside, outside = tag in ("article", "main"), FORM if tag == "form" else MARK if tag in OUTSIDE_TAGS else 0
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
-                inside, outside = inside or value.lower() in ("main", "article"), outside or value.lower() in OUTSIDE_ROLES
+                inside, outside = inside or value.lower() in ("main", "article"), outside | (value.lower() in OUTSIDE_ROLES)
             elif name in ("class", "id"):
-                parts = {x.lower() for x in _PARTS.findall(value)}
-                outside = outside or not parts.isdisjoint(OUTSIDE_NAMES)
+                told = [x for x in value.split() if not x.lower().startswith(_ABOUT)]
+                parts = {x.lower() for x in _PARTS.findall(" ".join(told))}
+                found = parts & OUTSIDE_NAMES
+                outside |= FORM if found == {"form"} else MARK if found else 0
                 inside = inside or not parts.isdisjoint(INSIDE_NAMES)
             elif name == "hidden":
-                outside = True
+                outside |= MARK
     return inside, outside
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag, inside, outside, dropped
+    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # tag, inside, outside, dropped
     parts: list[tuple[str, bool]] = []
     link = False
 
@@ -175,6 +190,8 @@ def blocks(page: str) -> list[Block]:
             link = True
         if tag in INLINE and not (tag == "span" and m[3] and _marks(tag, m[3])[1]):
             continue
+        if stack[-1][0] == "head" and tag not in _IN_HEAD:
+            stack.pop()  # its end tag was left out
         if tag in VOID:
             if tag in ("br", "hr"):
                 flush()
@@ -190,19 +207,23 @@ def blocks(page: str) -> list[Block]:
             continue
         inside, outside = _marks(tag, m[3])
         _, i, o, d = stack[-1]
-        stack.append((tag, i or inside, o or outside, d or tag in DROPPED))
+        stack.append((tag, i or inside, o | outside, d or tag in DROPPED))
     flush()
     return out
 
 
 def main_text(page: str, tree: Node) -> str:
     found = blocks(page)
+    # a form that holds most of the text which nothing else puts outside is a wrapper
+    of = lambda kind: sum(b.words * (1 - b.link_density) for b in found if b.outside == kind)
+    clear = (0, FORM) if of(FORM) > of(0) else (0,)
+    found = [b._replace(outside=int(b.outside not in clear)) for b in found]
     marked = any(b.inside and not b.outside for b in found)
-    none = Block("", 0, 0.0, False, False)
+    none = Block("", 0, 0.0, False, 0)
     kept = []
     for before, b, behind in zip([none, *found], found, [*found[1:], none], strict=False):
         # where the page marks its article, the rest lies outside
-        outside = b.outside or marked and not b.inside
+        outside = bool(b.outside) or marked and not b.inside
         if decide(tree, (b.words, b.link_density, before.words, before.link_density, behind.words, behind.link_density, b.inside, outside)):
             kept.append(b.text)
     return " ".join(kept)

@@ -77,6 +77,28 @@ def test_extract(html, wanted):
     assert extract.main_text(html or "", extract.fit(extract.TRAINING)) == wanted
 
 
+LONG = " ".join(f"word{k}" for k in range(27))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><head><title>x</title><body><p>{LONG}</p>", f'<div class="content has-sidebar"><p>{LONG}</p></div>', f'<article class="post category-search"><p>{LONG}</p></article>',
+        f'<article class="post comments-open"><p>{LONG}</p></article>', f"<html><body><form id=aspnetForm><div><p>{LONG}</p></div></form>", f"<p>{LONG}</p>",
+        f"<ul><li><a href=x>a b</a><li><a href=y>c d</a></ul><p>{LONG}</p>", f'<p title="x>{LONG}</p>',
+    ],
+)
+def test_extract_common_shapes(html):
+    assert extract.main_text(html, extract.fit(extract.TRAINING)) == LONG
+
+
+def test_extract_uses_its_neighbours_and_links():
+    def features(node):
+        return set() if node.feature < 0 else {extract.FEATURES[node.feature]} | features(node.left) | features(node.right)
+
+    assert {"link_density", "words", "words_behind"} <= features(extract.fit(extract.TRAINING))
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", page("<article>é x</article>"), 5), (2, None, None, 6), (2, None, None, 6)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, extract.extract(df).collect())) == [(1, "u", "é x", 3), (2, None, "", 0), (2, None, "", 0)]
