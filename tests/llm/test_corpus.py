@@ -89,7 +89,7 @@ def cut_bytes(given, length=400):
         gone = [False] * len(b)
         for k in range(len(b) - length + 1):
             if seen[b[k : k + length]] > 1:
-                gone[k : k + 400] = [True] * length
+                gone[k : k + length] = [True] * length
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out[i] = len(b), sum(gone), runs, left
