@@ -6,9 +6,10 @@
    are cut there.
 2. The suffixes of these strings are sorted by the difference-cover algorithm: sampled suffixes (places 1 and 2 of
    each three) are sorted by triples, which get names; strings of those names that occur twice and stand for fewer
-   than length bytes, cut behind the first other name, are sorted in the same way; then the remaining suffixes are merged, by counting those of
-   each other class that come before. Sorting, naming and counting are range-partitioned.
-3. Neighbours in the suffix array are compared: an anchor stays if it agrees with one on enough bytes for a match.
+   than length bytes and AHEAD letters, cut behind the first other name, are sorted in the same way; then the remaining suffixes are merged, by
+   counting those of each other class that come before. Sorting, naming and counting are range-partitioned.
+3. Neighbours in the suffix array are compared: an anchor stays if it agrees with one on enough bytes for a match, or on
+   AHEAD letters, so that suffixes needn't be told apart beyond these.
 4. An exact check by 128-bit hashes decides for each window of length bytes that starts at one of those anchors'
    places, first for all windows of an anchor at once, then for STEP of them, and only then one by one.
 
@@ -117,11 +118,11 @@ def strings(plain: DataFrame, length: int = LENGTH) -> DataFrame:
     return plain.mapInArrow(lean(run), "doc_id long, n long, a long, b long, letters array<struct<x: long, reach: smallint>>")
 
 
-def suffix_order(strings: DataFrame, enough: int = LENGTH) -> DataFrame:
+def suffix_order(strings: DataFrame, enough: int = LENGTH, letters: int | None = None, each: int = 1) -> DataFrame:
     """s, j and place, for letters x (positive, covering size bytes) at places j = 0, 1, ... of strings s.
 
-    A string ends below every letter. Suffixes that agree on enough bytes may share a place or stand in any order
-    among themselves; all others are ordered by their letters.
+    A string ends below every letter. Suffixes that agree on enough bytes, or on so many letters, may share a place or
+    stand in any order among themselves; all others are ordered by their letters. In recursion x is a name for each letters.
     """
     spark = strings.sparkSession
     w = Window.partitionBy("s").orderBy("j")
@@ -138,7 +139,7 @@ def suffix_order(strings: DataFrame, enough: int = LENGTH) -> DataFrame:
     named = sample.groupBy(*triple).agg(F.count("*").alias("n"), F.max("size").alias("size"))
     named = stored(named.repartitionByRange(tasks(spark), *triple).sortWithinPartitions(*triple).select(*triple, "n", "size", (F.monotonically_increasing_id() + 1).alias("name")))
     # a name that occurs once, or stands for enough, settles every comparison that reaches it
-    settled = (F.col("n") == 1) | (F.col("size") >= enough)
+    settled = (F.col("n") == 1) | (F.col("size") >= enough) | F.lit(letters is not None and 3 * each >= letters)
     below = F.xxhash64("s", F.col("j") % 3)
     sample = sample.select("s", "j", *triple, below.alias("s2"), F.floor(F.col("j") / 3).alias("j2")).join(named.select(*triple, "name", "size", settled.alias("settled")), triple)
     v = Window.partitionBy("s2").orderBy("j2")
@@ -149,7 +150,7 @@ def suffix_order(strings: DataFrame, enough: int = LENGTH) -> DataFrame:
         ranked = sample.select("s", "j", F.col("name").alias("rank"), F.lit(0).cast("long").alias("more"))
     else:  # recurse on strings of names that are not settled and the settled one behind them
         wanted = sample.where("not settled or j2 > last + 1").withColumn("s3", F.xxhash64("s2", "last").bitwiseAND((1 << 62) - 1)).withColumn("j3", F.col("j2") - F.col("last") - 1)
-        deeper = suffix_order(wanted.select(F.col("s3").alias("s"), F.col("j3").alias("j"), F.col("name").alias("x"), "size"), enough)
+        deeper = suffix_order(wanted.select(F.col("s3").alias("s"), F.col("j3").alias("j"), F.col("name").alias("x"), "size"), enough, letters, 3 * each)
         spent.append(deeper)
         ranked = wanted.select("s", "j", "name", "s3", "j3").join(deeper.select(F.col("s").alias("s3"), F.col("j").alias("j3"), F.col("place").alias("more")), ["s3", "j3"]).select("s", "j", F.col("name").alias("rank"), "more")
         ranked = ranked.unionByName(sample.where("settled and j2 = last + 1").select("s", "j", F.col("name").alias("rank"), F.lit(0).cast("long").alias("more")))
@@ -188,7 +189,7 @@ def candidates(distinct: DataFrame, length: int = LENGTH) -> DataFrame:
     ahead = F.collect_list(F.col("x").bitwiseAND((1 << 32) - 1) - (1 << 31)).over(of_run.rowsBetween(0, AHEAD - 1)).cast("array<int>")
     letters = stored(letters.select("id", "i", "x", "reach", size.alias("size"), F.xxhash64("id", "run").bitwiseAND((1 << 62) - 1).alias("s"), (F.row_number().over(of_run) - 1).cast("long").alias("j"), ahead.alias("ahead")))
     discard(twice)
-    order = suffix_order(letters.select("s", "j", "x", "size"), length)
+    order = suffix_order(letters.select("s", "j", "x", "size"), length, AHEAD)  # no more letters are compared below
     placed = letters.select("s", "j", "id", "i", "reach", "ahead").join(order, ["s", "j"]).select("id", "i", "reach", "ahead", "place", F.lit(True).alias("every"))
     placed = running(placed, ["place", "id", "i"], "every")
     discard(letters, order)

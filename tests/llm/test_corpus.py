@@ -123,6 +123,25 @@ def test_suffix_order(spark, letters):
     assert got == sorted(got) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("most", [3, 6])
+def test_suffix_order_of_some_letters(spark, most):
+    """Suffixes that agree on so many letters may stand in any order; all others are sorted."""
+    import random
+
+    rng = random.Random(most)
+    strings = {s: [rng.randint(1, 2) for _ in range(rng.randint(1, 60))] for s in range(9)} | {9: [1] * 50, 10: [1] * 70}
+    rows = [(s, j, x, 1) for s, text in strings.items() for j, x in enumerate(text)]
+    order = suffixarray.suffix_order(stored(spark.createDataFrame(rows, "s long, j long, x long, size long")), 1000, most).collect()
+    assert len(order) == len(rows)
+    places = {}
+    for r in order:
+        places.setdefault(tuple(strings[r.s][r.j : r.j + most]), []).append(r.place)
+    last = -1
+    for _, found in sorted(places.items()):
+        assert last < min(found)
+        last = max(found)
+
+
 def cut_words(given, seen=frozenset()):
     seen, out = set(seen), {}
     for i in sorted(given):
