@@ -1,5 +1,7 @@
 """Searches by blocks against plain joins of all pairs."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumengrid import config
 from lumengrid.operators import als, blocks
+from lumengrid.plans import evaluate
 
 
 def plan(df):
@@ -29,3 +32,53 @@ def test_lsh_is_the_join_by_buckets(spark, monkeypatch, sample):
     got = als.lsh_neighbours(df, F.col("item_id") % 50 == 0, 10)
     assert {(r.query_id, r.item_id) for r in got.collect()} == wanted
     assert "Join" not in plan(got) and "Generate" not in plan(got)  # pairs and copies of vectors never become rows
+
+
+def plain_best(ranker, items, users, n):
+    """{user_id: item_ids} by all pairs; a missing score comes last, one that is not a number first, ties by item_id."""
+
+    def minmax(xs):
+        good = [x for x in xs if x is not None and math.isfinite(x)]
+        if not good:
+            return [0.0] * len(xs)
+        lo, hi = min(good), max(good)
+        if hi - lo < 1e-12:
+            return [0.5 if x is not None and math.isfinite(x) else 0.0 for x in xs]
+        return [0.0 if x is None or not math.isfinite(x) else (x - lo) / (hi - lo) for x in xs]
+
+    def dot(a, b):
+        return None if a is None or b is None else float(np.dot(a, b))
+
+    out = {}
+    for place, (user, profile, factor) in enumerate(users):
+        semantic = [None if e is None else dot(profile, np.array(e) / np.linalg.norm(e)) for _, e, _, _, _ in items]
+        behavioral = [dot(factor, f) for _, _, f, _, _ in items]
+        hybrid = [0.45 * a + 0.4 * b + 0.15 * c for a, b, c in zip(minmax(semantic), minmax(behavioral), minmax([x[3] for x in items]), strict=True)]
+        scores = {"embeddings_only": semantic, "cf_only": behavioral, "hybrid": hybrid}[ranker]
+        order = sorted((s is None, 0 if s is None or math.isnan(s) else 1, 0 if s is None or math.isnan(s) else -round(s, 9), i[0]) for s, i in zip(scores, items, strict=True) if place not in (i[4] or []))
+        out[user] = [x[3] for x in order[:n]]
+    return out
+
+
+def best_by_blocks(spark, ranker):
+    rng = np.random.default_rng(3)
+    items = []
+    for k in range(500):
+        e, f = (rng.normal(size=d).round(1).tolist() for d in (6, 4))
+        items.append([k, e if k % 50 else None, f if k % 7 else None, float(k % 30) if k % 11 else None, rng.integers(0, 9, 3).tolist() if k % 3 else None])
+    for k in range(250, 300):  # copies
+        items[k][1:3] = items[k - 250][1:3]
+    items[123][2] = [float("nan")] * 4
+    users = [(100 + p, (v := rng.normal(size=6)) / np.linalg.norm(v), rng.normal(size=4) if p != 5 else None) for p in range(9)]
+    found = evaluate.Cohort(np.array([u[0] for u in users]), np.array([u[1] for u in users]), np.ones(9, bool), np.array([np.zeros(4) if u[2] is None else u[2] for u in users]), np.array([u[2] is not None for u in users]))
+    df = spark.createDataFrame(items, "item_id long, embedding array<double>, factor array<double>, bayes_score double, rated array<long>").repartition(3)
+    got = evaluate.ranked(df, found, (ranker,), 25)
+    assert "Join" not in plan(got)  # the cohort never meets the catalog row by row
+    out = {}
+    for r in got.orderBy("rank").collect():
+        out.setdefault(r.user_id, []).append(r.item_id)
+    assert out == plain_best(ranker, items, users, 25)
+
+
+def test_hybrid_by_blocks(spark):
+    best_by_blocks(spark, "hybrid")
