@@ -82,3 +82,7 @@ def best_by_blocks(spark, ranker):
 
 def test_hybrid_by_blocks(spark):
     best_by_blocks(spark, "hybrid")
+
+
+def test_semantic_by_blocks(spark):
+    best_by_blocks(spark, "embeddings_only")
