@@ -1,6 +1,8 @@
 """Searches by blocks against plain joins of all pairs."""
 
 import math
+import re
+import time
 
 import numpy as np
 import pytest
@@ -86,3 +88,36 @@ def test_hybrid_by_blocks(spark):
 
 def test_semantic_by_blocks(spark):
     best_by_blocks(spark, "embeddings_only")
+
+
+def fitted(spark):
+    rows = spark.createDataFrame([(u, i, float(1 + (u * i) % 5), 0) for u in range(60) for i in range(40) if (u + i) % 3], "user_id long, item_id long, rating double, ts long")
+    return als.fit(rows, rank=4)
+
+
+def test_als_deletes_what_iterations_shuffled(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return set(re.findall(r"shuffle_(\d+)_", files.mkString(" ")))
+
+    before = shuffles()
+    model = fitted(spark)  # ten iterations, two shuffles each
+    for _ in range(20):
+        left = shuffles() - before
+        if len(left) < 12:
+            break
+        time.sleep(0.5)  # files are deleted in the background
+    assert len(left) < 12 and als.item_factors(model).count() == 40
+
+
+def test_top_items_are_those_of_all_pairs(spark):
+    model = fitted(spark)
+    u, v = ({r[0]: np.array(r[1]) for r in f(model).collect()} for f in (als.user_factors, als.item_factors))
+    got = als.top_items(model, 5, F.col("user_id") % 3 == 0)
+    assert "Join" not in plan(got)
+    rows = {}
+    for r in got.orderBy("user_id", F.desc("score"), "item_id").collect():
+        rows.setdefault(r.user_id, []).append(r.score)
+    assert set(rows) == {x for x in u if x % 3 == 0}
+    for x, scores in rows.items():
+        assert scores == pytest.approx(sorted((float(u[x] @ w) for w in v.values()), reverse=True)[:5], abs=1e-5)
