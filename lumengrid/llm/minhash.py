@@ -8,8 +8,8 @@
 3. Buckets that still hold several components get CENTRES other centres; each set of another component is paired with the one
    it shares most buckets with and has not met, round after round, until a round finds few links (one in FEW of all) or none.
 4. All sets of buckets that are divided even then go through an exact join: shingles are ordered from rare to common, and
-   the pairs of different components that share one in their prefixes, where sizes and places allow the similarity, are
-   confirmed. Its links are added, whatever their number. So the rounds decide what is quick, not what is found.
+   the pairs of different components that share one in their prefixes, where sizes, places and outlines (parities of the
+   shingles by slot) allow the similarity, are confirmed. Its links are added, whatever their number. So the rounds decide what is quick, not what is found.
 
 With 36 bands of 4 rows a pair at the least similarity shares no bucket with probability 1e-6, the only way to be lost.
 
@@ -35,6 +35,8 @@ SHINGLE, BANDS, ROWS, PERCENT = 5, 36, 4, 75
 CENTRES = 8
 #: Rounds end once they find less than one in so many of the links so far; slots in which shingles are counted for their order.
 FEW, SLOTS = 20, 1 << 18
+#: Words of 64 bits of a set's outline.
+OUTLINE = 16
 BINS = BANDS * ROWS
 _ORDER = np.stack([np.random.default_rng(k).permutation(BINS) for k in range(BINS)])
 
@@ -138,8 +140,14 @@ def _slot_counts(bodies: DataFrame) -> np.ndarray:
     return out
 
 
+def outline(shingles: np.ndarray) -> np.ndarray:
+    """The parities of a set's shingles by 64 x OUTLINE slots: two sets differ in as many shingles, at least, as these differ in bits."""
+    slots = np.bincount((tk.mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * OUTLINE)).astype(np.int64), minlength=64 * OUTLINE)
+    return np.packbits((slots & 1).astype(np.uint8)).view(np.int64)
+
+
 def prefixes(bodies: DataFrame, percent: int) -> DataFrame:
-    """id, n, shingle, left (shingles from this one on, rare ones first) and short, for the prefixes of sets of (id, text).
+    """id, n, shingle, left (shingles from this one on, rare ones first), short and the set's outline (o0, o1, ...), for the prefixes of sets of (id, text).
 
     Similar sets share a shingle of both prefixes, which is in the short one of the smaller set.
     """
@@ -148,7 +156,7 @@ def prefixes(bodies: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in tk.chunks(batch.column(1)):
-                ids, sizes, found, left = [], [], [], []
+                ids, sizes, found, left, drawn = [], [], [], [], []
                 for i, s in zip(batch.column(0).slice(c.lo, c.hi - c.lo).to_pylist(), sets(c), strict=True):
                     s = s[np.lexsort((s, counts[_slot(s)]))]
                     rest = np.arange(len(s), 0, -1)
@@ -157,12 +165,14 @@ def prefixes(bodies: DataFrame, percent: int) -> DataFrame:
                     sizes.append(np.full(k, len(s), dtype=np.int64))
                     found.append(s[:k].astype(np.int64))
                     left.append(rest[:k])
+                    drawn.append(np.broadcast_to(outline(s), (k, OUTLINE)))
                 if ids:
                     n, r = np.concatenate(sizes), np.concatenate(left)
-                    arrays = [np.concatenate(ids), n, np.concatenate(found), r, (100 + percent) * r >= 2 * percent * n]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["id", "n", "shingle", "left", "short"])
+                    arrays = [np.concatenate(ids), n, np.concatenate(found), r, (100 + percent) * r >= 2 * percent * n, *np.ascontiguousarray(np.concatenate(drawn).T)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["id", "n", "shingle", "left", "short", *outlines])
 
-    return bodies.select("id", "text").mapInArrow(lean(run), "id long, n long, shingle long, left long, short boolean")
+    outlines = [f"o{k}" for k in range(OUTLINE)]
+    return bodies.select("id", "text").mapInArrow(lean(run), "id long, n long, shingle long, left long, short boolean, " + ", ".join(f"{o} long" for o in outlines))
 
 
 def exact_pairs(bodies: DataFrame, label: DataFrame | None, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -176,10 +186,13 @@ def exact_pairs(bodies: DataFrame, label: DataFrame | None, percent: int) -> tup
     rows = every
     useful = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("short").alias("any")).where("any and low < high").select("shingle")
     rows = stored(rows.join(useful, "shingle"))
-    side = lambda x: rows.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("id", "n", "left", "short", "c")))
+    outlines = [f"o{k}" for k in range(OUTLINE)]
+    side = lambda x: rows.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("id", "n", "left", "short", "c", *outlines)))
     a, b = side("u").where("short_u"), side("v")
     fits = (F.col("c_u") != F.col("c_v")) & ((F.col("n_u") < F.col("n_v")) | (F.col("n_u") == F.col("n_v")) & (F.col("id_u") < F.col("id_v")))
     fits &= (100 * F.col("n_u") >= percent * F.col("n_v")) & ((100 + percent) * F.least("left_u", "left_v") >= percent * (F.col("n_u") + F.col("n_v")))
+    differ = sum((F.bit_count(F.col(f"{o}_u").bitwiseXOR(F.col(f"{o}_v"))) for o in outlines), F.lit(0))  # similar sets differ in few shingles
+    fits &= (100 + percent) * differ <= (100 - percent) * (F.col("n_u") + F.col("n_v"))
     return a.join(b, (a.shingle == b.shingle) & fits).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct(), [every, rows]
 
 
