@@ -121,3 +121,7 @@ def test_top_items_are_those_of_all_pairs(spark):
     assert set(rows) == {x for x in u if x % 3 == 0}
     for x, scores in rows.items():
         assert scores == pytest.approx(sorted((float(u[x] @ w) for w in v.values()), reverse=True)[:5], abs=1e-5)
+
+
+def test_behavioral_by_blocks(spark):
+    best_by_blocks(spark, "cf_only")
