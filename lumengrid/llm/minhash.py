@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.llm import textkernel as tk
@@ -196,6 +196,29 @@ def exact_pairs(bodies: DataFrame, label: DataFrame | None, percent: int) -> tup
     return a.join(b, (a.shingle == b.shingle) & fits).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct(), [every, rows]
 
 
+def chosen_centres(rows: DataFrame, centre: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (u, v): for each set of rows (id, n, c, bucket) the centre of another component that most of its buckets (bucket, m) have, of those it has not met.
+
+    Centres are gathered by set, BANDS x CENTRES at most, and counted in place: no row is made for each of them.
+    """
+    other = lambda m: (m.c != F.col("c")) & (100 * F.least(F.col("n"), m.n) >= percent * F.greatest(F.col("n"), m.n))
+    near = rows.join(centre, "bucket").select(F.col("id").alias("u"), F.array_distinct(F.transform(F.filter("m", other), lambda m: m.id)).alias("v")).where(F.size("v") > 0)
+    near = near.groupBy("u").agg(F.flatten(F.collect_list("v")).alias("v"))
+    if tested is not None:
+        near = near.join(tested.groupBy("u").agg(F.collect_set("v").alias("met")), "u", "left")
+        near = near.select("u", F.when(F.col("met").isNull(), F.col("v")).otherwise(F.filter("v", lambda v: ~F.array_contains("met", v))).alias("v"))
+    state = lambda n, last, best: F.struct(n.alias("n"), last.alias("last"), best.alias("best"))
+    ranked = lambda n, v: F.struct(n.alias("shared"), F.xxhash64(v).alias("r"), v.alias("v"))
+    none = F.lit(None).cast("struct<shared: int, r: bigint, v: bigint>")
+
+    def counted(acc: Column, v: Column) -> Column:  # equal ids stand together
+        n = F.when(acc.last == v, acc.n + 1).otherwise(F.lit(1))
+        return state(n, v, F.greatest(acc.best, ranked(n, v)))
+
+    best = F.aggregate(F.array_sort("v"), state(F.lit(0), F.lit(None).cast("long"), none), counted, lambda acc: acc.best.v)
+    return near.where(F.size("v") > 0).select("u", best.alias("v"))
+
+
 def labelled(links: DataFrame, old: DataFrame | None) -> DataFrame:
     """id and component by all links so far, in place of the labels by earlier ones."""
     found = components(links)
@@ -231,12 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rank = lambda k: F.struct(F.xxhash64("id", F.lit(k)).alias("r"), "id", "n", "c")
         centre = rows.groupBy("bucket").agg(F.array(*(F.min(rank(k)) for k in seeds)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         centre = stored(centre.select("bucket", "m"))  # written, so that the join can split a hot bucket
-        other = lambda m: (m.c != F.col("c")) & (100 * F.least(F.col("n"), m.n) >= percent * F.greatest(F.col("n"), m.n))
-        met = rows.join(centre, "bucket").select(F.col("id").alias("u"), F.explode(F.array_distinct(F.transform(F.filter("m", other), lambda m: m.id))).alias("v"))
-        met = met.groupBy("u", "v").agg(F.count("*").alias("shared"))
-        if tested is not None:
-            met = met.join(tested, ["u", "v"], "left_anti")
-        pairs = stored(met.groupBy("u").agg(F.max(F.struct("shared", F.xxhash64("v").alias("r"), "v")).alias("best")).select("u", F.col("best.v").alias("v")))
+        pairs = stored(chosen_centres(rows, centre, tested, percent))
         found = stored(confirm(pairs, bodies, percent))
         discard(centre)
         spent += [pairs, found]
