@@ -17,3 +17,10 @@ def test_ratings_of_a_user_are_dealt_once(spark, capsys):
     count = lambda df: _plan(capsys, df).count("Exchange hashpartitioning(user_id")
     assert (count(plain), count(dealt)) == (2, 1)
     assert sorted(plain.collect()) == sorted(dealt.collect())
+
+
+def test_vectors_are_the_catalogs_without_a_pass_over_ratings(spark, capsys):
+    found = catalog.vectors(spark, SF)
+    whole = catalog.catalog(spark, SF).select("item_id", "embedding", "factor")
+    assert sorted(found.collect(), key=lambda r: r.item_id) == sorted(whole.collect(), key=lambda r: r.item_id)
+    assert "o_orderkey" not in _plan(capsys, found) and "o_orderkey" in _plan(capsys, whole)
