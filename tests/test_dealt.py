@@ -24,3 +24,14 @@ def test_vectors_are_the_catalogs_without_a_pass_over_ratings(spark, capsys):
     whole = catalog.catalog(spark, SF).select("item_id", "embedding", "factor")
     assert sorted(found.collect(), key=lambda r: r.item_id) == sorted(whole.collect(), key=lambda r: r.item_id)
     assert "o_orderkey" not in _plan(capsys, found) and "o_orderkey" in _plan(capsys, whole)
+
+
+def test_trained_evaluation_leaves_no_tables_of_factors(spark, monkeypatch):
+    made, gone = [], []
+    kept, drop = store.kept, store.drop
+    monkeypatch.setattr(store, "kept", lambda *a: made.append(kept(*a)) or made[-1])
+    monkeypatch.setattr(store, "drop", lambda *frames: gone.extend(f.kept_path for f in frames) or drop(*frames))
+    ratings = tables.ratings(spark, SF)
+    evaluate.evaluate_trained(ratings, catalog.vectors(spark, SF), users_limit=20, rank=2).collect()
+    factors = [f.kept_path for f in made if f.columns[1:] == ["features"]]
+    assert len(factors) == 2 and set(factors) <= set(gone)
