@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengrid.llm import kneserney, minhash, packing, secrets, suffixarray
-from lumengrid.llm.common import BROADCAST_ROWS, lean, prepare, remove, shared_dir, with_spans
+from lumengrid.llm.common import BROADCAST_ROWS, lean, prepare, remove, settle, shared_dir, with_spans
 from lumengrid.llm.queries import WORD_BPE
 
 #: Bytes of a repeated string that goes: fewer than 50 words have, in the languages at hand, so that shared passages of that size go too.
@@ -49,16 +49,21 @@ def _rewritten(docs: DataFrame, change: Callable[[str, list | None], str], spans
     return docs.select(*fields).mapInArrow(lean(run), ", ".join(f"{c} {kinds[c]}" for c in COLUMNS))
 
 
+def _begin(spark: SparkSession) -> None:
+    prepare(spark)
+    settle(spark)
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney model of trusted text finds too improbable go."""
-    prepare(spark)
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _chosen(docs, kneserney.classify(docs, labels))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near-duplicates stays."""
-    prepare(spark)
+    _begin(spark)
     kept = _chosen(docs, minhash.near_duplicates(docs))
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
@@ -67,7 +72,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of PASSAGE bytes or more that occur twice go; a character that a cut goes through goes as a whole."""
-    prepare(spark)
+    _begin(spark)
 
     def change(text: str, spans: list | None) -> str:
         if not spans:
@@ -79,13 +84,13 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    prepare(spark)
+    _begin(spark)
     return _rewritten(docs, lambda text, _: secrets.redact(text))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, with their token ids."""
-    prepare(spark)
+    _begin(spark)
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), with_ids=True)
 
 

@@ -34,6 +34,8 @@ SHARDS, SALTS, MOST_SHARDS, GROUP_BYTES = 8, 16, 256, 1 << 28
 #: A language's threshold: this quantile of trusted texts, and so many times its distance from the median above it, for small
 #: samples; chosen with held-out labels of both kinds in view.
 HIGH, SLACK, STEP = 0.95, 1.0, 1000
+#: N-grams whose shards are told at once.
+PART = 1 << 18
 #: One in so many trusted texts is held out of the counts, for the quantiles.
 HELD = 5
 #: Bytes at the language's median that every document counts as having besides its own: short ones say little.
@@ -46,21 +48,20 @@ def grams(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
     n = len(c.offsets) - 1
     extra = ORDER  # ORDER - 1 marks before, one behind
     data = np.full(len(c.data) + extra * n, BEGIN, dtype=np.uint32)
-    row = np.repeat(np.arange(n), np.diff(c.offsets))
-    data[np.arange(len(c.data)) + extra * row + ORDER - 1] = c.data
-    ends = c.offsets[1:] + extra * np.arange(1, n + 1) - 1
+    starts, ends = c.offsets[:-1] + extra * np.arange(n), c.offsets[1:] + extra * np.arange(1, n + 1) - 1
+    last = np.ones(len(data), dtype=bool)  # where an n-gram may end
+    for k in range(ORDER - 1):
+        last[starts + k] = False
+    own = last.copy()
+    own[ends] = False
+    data[own] = c.data
     data[ends] = END
     size = len(data) - ORDER + 1
-    code = np.zeros(size, dtype=np.uint32)
-    for k in range(ORDER):
-        code = code << np.uint32(8) | data[k : k + size]
-    rows = np.repeat(np.arange(n), np.diff(c.offsets) + extra)[ORDER - 1 :]
-    first = np.ones(len(data), dtype=bool)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    for k in range(ORDER - 1):
-        first[starts + k] = False
-    keep = first[ORDER - 1 :]
-    return code[keep], rows[keep]
+    code = data[:size].copy()
+    for k in range(1, ORDER):
+        code <<= np.uint32(8)
+        code |= data[k : k + size]
+    return code[last[ORDER - 1 :]], np.repeat(np.arange(n, dtype=np.uint32), np.diff(c.offsets) + 1)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def groups(symbols: int) -> tuple[int, int]:
 
 
 def _shard(code: np.ndarray, shards: int) -> np.ndarray:
-    return (tk.mix(code.astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+    return np.concatenate([(tk.mix(code[lo : lo + PART].astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.uint8) for lo in range(0, max(len(code), 1), PART)])
 
 
 def postings(docs: DataFrame, shards: int, salts: int) -> DataFrame:
@@ -157,23 +158,41 @@ def postings(docs: DataFrame, shards: int, salts: int) -> DataFrame:
             ids = batch.column(0).to_pylist()
             for c in tk.chunks(batch.column(1)):
                 code, row = grams(c)
-                key, count = np.unique(code.astype(np.uint64) << np.uint64(32) | row.astype(np.uint64), return_counts=True)
-                many = -(-count // 255)  # counts of more than a byte take several entries
-                last = np.cumsum(many) - 1
-                key, part = np.repeat(key, many), np.full(many.sum(), 255, dtype=np.int64)
-                part[last] = count - 255 * (many - 1)
-                gram, doc = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint16)
+                salt = int(tk.mix(np.array([len(c.data) * 1_000_003 + int(code[0])], dtype=np.uint64))[0] % np.uint64(salts))
+                # arrays have an entry for each n-gram of the chunk: each is narrow, and goes as soon as it has served
+                key = code.astype(np.uint64)
+                key <<= np.uint64(32)
+                key |= row
+                del code, row
+                key.sort()
+                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32)
+                count = np.diff(begin, append=np.int32(len(key)))
+                key = key[begin]
+                gram, doc = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint16)
+                del key, begin
+                if count.max() > 255:  # counts of more than a byte take several entries
+                    many = -(-count // 255)
+                    at = np.cumsum(many) - 1
+                    gram, doc, part = np.repeat(gram, many), np.repeat(doc, many), np.full(many.sum(), 255, dtype=np.int32)
+                    part[at] = count - 255 * (many - 1)
+                    count = part
+                    del many, at, part
+                counts, steps = count.astype(np.uint8), doc
+                del count, doc
                 # places of documents are told by their distance from the one before; far ones take entries that count nothing
                 start = np.concatenate([[True], gram[1:] != gram[:-1]])
-                step = np.diff(doc.astype(np.int64), prepend=0)
-                step[start] = doc[start]
-                more = step // 255
-                at = np.cumsum(more + 1) - 1
-                gram = np.repeat(gram, more + 1)
-                steps, counts = np.full(len(gram), 255, dtype=np.uint8), np.zeros(len(gram), dtype=np.uint8)
-                steps[at], counts[at] = step - 255 * more, part
+                steps = np.where(start, steps, np.diff(steps, prepend=steps[:1]))  # never negative: rows of an n-gram ascend
+                del start
+                if steps.max() > 255:
+                    more = (steps // 255).astype(np.int32)
+                    at = np.cumsum(more + 1) - 1
+                    gram = np.repeat(gram, more + 1)
+                    left, few = (steps - 255 * more).astype(np.uint8), counts
+                    steps, counts = np.full(len(gram), 255, dtype=np.uint8), np.zeros(len(gram), dtype=np.uint8)
+                    steps[at], counts[at] = left, few
+                    del more, at, left, few
+                steps = steps.astype(np.uint8)
                 shard = _shard(gram, shards)
-                salt = int(tk.mix(np.array([len(c.data) * 1_000_003 + int(code[0])], dtype=np.uint64))[0] % np.uint64(salts))
                 rows = []
                 for s in range(shards):
                     own = shard == s
